@@ -1,8 +1,8 @@
 """Toxicity (1): bags of character n-grams, averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams (3 to 6 letters, with marks at both ends), a text's vector
-the mean over its distinct whitespace tokens and PAD empty ones, which keep short texts near the prior, and a linear softmax
-reads it. Embeddings and softmax are trained together by Adam, so a
+the mean over its distinct whitespace tokens, a token of n occurrences weighing 1 + ln n, and PAD empty ones, which keep short
+texts near the prior; a linear softmax reads it. Embeddings and softmax are trained together by Adam, so a
 misspelt or unseen word shares the vectors of the n-grams that it keeps. As all layers are linear, a trained model needs one
 number per n-gram to score, and a word's share of the score can be remembered.
 
@@ -13,6 +13,9 @@ scores; other columns are ignored; without any labelled row of both classes ever
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import log
+from operator import mul
 from zlib import crc32
 
 import numpy as np
@@ -23,11 +26,20 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, by_arrow, ddl, need, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
-PAD = 4
+PAD = 8
 FLOOR = 0.03
 SCALE = 100.0  # texts average hundreds of words: the scale keeps the margins of a few words in reach
 
 
+def bag(text: str | None) -> tuple[list[str], list[float]]:
+    """A text's distinct tokens in a fixed order, and their weights, which add up to less than 1."""
+    count = Counter((text or "").lower().split())
+    tokens = sorted(count)
+    weights = [1.0 if count[t] == 1 else 1.0 + log(count[t]) for t in tokens]
+    whole = sum(weights) + PAD
+    return tokens, [w / whole for w in weights]
+
+
 def grams(token: str, mask: int) -> list[int]:
     """Bucket numbers of a token's n-grams, over its letters only."""
     out = []
@@ -57,8 +69,8 @@ class SubwordModel:
         shares = Shares()
 
         def margin(text: str | None) -> float:
-            tokens = sorted(set((text or "").lower().split()))
-            return bias + sum(map(shares.__getitem__, tokens)) / (len(tokens) + PAD)
+            tokens, weights = bag(text)
+            return bias + sum(map(mul, map(shares.__getitem__, tokens), weights))
 
         return margin
 
@@ -88,16 +100,17 @@ def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], *, bits: int = 18, dim: int = 4, epochs: int = 10, batch: int = 192, rate: float = 0.02, seed: int = 7) -> SubwordModel:
-    """Fit on whole texts, both classes with equal weight; then slope and bias are set on every fifth text, which the fit left
+def train(texts: list[str], labels: list[int], weights: list[float], *, bits: int = 18, dim: int = 4, epochs: int = 12, steps: int = 150, batch: int = 192, rate: float = 0.02, seed: int = 7) -> SubwordModel:
+    """Fit on whole texts, both classes with equal weight, over ``epochs`` or as many as make ``steps`` batches; then slope and bias are set on every fifth text, which the fit left
     out, by ``weights`` that restore the classes' shares."""
     y, sw = np.asarray(labels, np.float64), np.asarray(weights, np.float64)
     share = float((y * sw).sum() / sw.sum()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(1 << bits), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    mask, vocabulary, tokens = (1 << bits) - 1, {}, []
+    mask, vocabulary, tokens, parts_of = (1 << bits) - 1, {}, [], []
     for text in texts:
-        distinct = sorted(set((text or "").lower().split()))
+        distinct, part = bag(text)
+        parts_of.append(np.array(part, np.float32) * np.float32(SCALE))
         tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in distinct), np.int64, len(distinct)))
     lists = [grams(t, mask) for t in vocabulary]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -115,10 +128,12 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     for at in np.array_split(rng.permutation(fitted), max(1, len(fitted) // batch)):
         doc_of = np.repeat(np.arange(len(at)), [len(tokens[i]) for i in at])
         words, word_of = np.unique(np.concatenate([tokens[i] for i in at]), return_inverse=True)
-        part_of = np.concatenate([np.full(len(tokens[i]), SCALE / (len(tokens[i]) + PAD), np.float32) for i in at])
+        part_of = np.concatenate([parts_of[i] for i in at])
         parts.append((at, doc_of, word_of, part_of, words, *_flat(lists, words, sizes, starts, flat)))
-    t = 0
-    for _ in range(epochs):
+    epochs = max(epochs, -(-steps // len(parts)))
+    t, mean, n_mean = 0, [np.zeros_like(p) for p in (emb, out, bias)], 0
+    for epoch in range(epochs):
+        pace = rate * (1.0 - 0.8 * epoch / epochs)
         for at, doc_of, word_of, part_of, words, gram, owner in parts:
             t += 1
             inverse = (1.0 / np.maximum(sizes[words], 1))[:, None].astype(np.float32)
@@ -130,18 +145,23 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
             dz = (p - np.stack([1 - y[at], y[at]], 1)) * balance[at][:, None] / len(at)
             dword = _sum(word_of, (dz @ out.T)[doc_of] * part_of[:, None], len(words)) * inverse
             grads = (_sum(gram, dword[owner], 1 << bits), doc.T @ dz + 1e-4 * out, dz.sum(0))
-            for param, grad, (m, v), step in zip((emb, out, bias), grads, state, (rate, rate, rate), strict=True):
+            for param, grad, (m, v), step in zip((emb, out, bias), grads, state, (pace, pace, pace), strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 # a floor under the divisor: an n-gram that is rarely seen moves by less than a common one
                 param -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + FLOOR * np.sqrt(v.max() / (1 - 0.99**t)) + 1e-12)).astype(param.dtype)
+        if epoch >= epochs // 2:  # the model is the mean of the later epochs' ends, which steadies it
+            n_mean += 1
+            for kept, param in zip(mean, (emb, out, bias), strict=True):
+                kept += (param - kept) / n_mean
+    emb, out, bias = mean
     model = SubwordModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float64) * SCALE, float(bias[1] - bias[0]))
     margin = model.scorer()
     slope, offset = _platt(np.array([margin(texts[i]) for i in held]), y[held], sw[held] / sw[held].mean())
     return SubwordModel(model.table * slope, model.bias * slope + offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 4000, **options) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 8000, **options) -> SubwordModel:
     """Fit on labelled documents: at most about ``rows_each`` of each class, with texts of up to ``max_chars`` characters.
 
     labels: doc_id and label (0, 1; null is no label; a repeated id counts once, with its largest label). Both bounds are for
