@@ -13,6 +13,7 @@ scores; other columns are ignored; without any labelled row of both classes ever
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from math import log
 from operator import mul
@@ -32,12 +33,11 @@ SCALE = 100.0  # texts average hundreds of words: the scale keeps the margins of
 
 
 def bag(text: str | None) -> tuple[list[str], list[float]]:
-    """A text's distinct tokens in a fixed order, and their weights, which add up to less than 1."""
+    """A text's distinct tokens in order of first use, and their weights, which add up to less than 1."""
     count = Counter((text or "").lower().split())
-    tokens = sorted(count)
-    weights = [1.0 if count[t] == 1 else 1.0 + log(count[t]) for t in tokens]
+    weights = [1.0 if n == 1 else 1.0 + log(n) for n in count.values()]
     whole = sum(weights) + PAD
-    return tokens, [w / whole for w in weights]
+    return list(count), [w / whole for w in weights]
 
 
 def grams(token: str, mask: int) -> list[int]:
@@ -45,7 +45,11 @@ def grams(token: str, mask: int) -> list[int]:
     out = []
     for word in LETTERS.findall(token):
         w = f"<{word[:40]}>" if len(word) > 40 else f"<{word}>"
-        out += [crc32(w[i : i + n].encode("utf-8", "replace")) & mask for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
+        if w.isascii():  # a letter is a byte: encoded once
+            b = w.encode()
+            out += [crc32(b[i : i + n]) & mask for n in (3, 4, 5, 6) for i in range(len(b) - n + 1)]
+        else:
+            out += [crc32(w[i : i + n].encode("utf-8", "replace")) & mask for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
     return out
 
 
@@ -75,10 +79,10 @@ class SubwordModel:
         return margin
 
 
-def _flat(lists: list[list[int]], which: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _flat(which: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the words ``which``, one after the other, and the place in ``which`` that each belongs to."""
     n = sizes[which]
-    owner = np.repeat(np.arange(len(which)), n)
+    owner = np.repeat(np.arange(len(which), dtype=np.int32), n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     return flat[np.repeat(starts[which], n) + offset], owner
 
@@ -111,10 +115,14 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     for text in texts:
         distinct, part = bag(text)
         parts_of.append(np.array(part, np.float32) * np.float32(SCALE))
-        tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in distinct), np.int64, len(distinct)))
-    lists = [grams(t, mask) for t in vocabulary]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, starts = np.fromiter((g for x in lists for g in x), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in distinct), np.int32, len(distinct)))
+    grown, sizes = array("i"), np.zeros(len(vocabulary), np.int64)
+    for i, token in enumerate(vocabulary):
+        found = grams(token, mask)
+        grown.extend(found)
+        sizes[i] = len(found)
+    flat, starts = np.frombuffer(grown, np.int32), np.cumsum(sizes) - sizes
+    del vocabulary
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.02, (1 << bits, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
     emb[np.bincount(flat, minlength=1 << bits) == 0] = 0
@@ -126,16 +134,17 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     balance = np.where(y == 1, 0.5 / max(1, (y[fitted] == 1).sum()), 0.5 / max(1, (y[fitted] == 0).sum())) * len(fitted)
     parts = []
     for at in np.array_split(rng.permutation(fitted), max(1, len(fitted) // batch)):
-        doc_of = np.repeat(np.arange(len(at)), [len(tokens[i]) for i in at])
+        doc_of = np.repeat(np.arange(len(at), dtype=np.int32), [len(tokens[i]) for i in at])
         words, word_of = np.unique(np.concatenate([tokens[i] for i in at]), return_inverse=True)
         part_of = np.concatenate([parts_of[i] for i in at])
-        parts.append((at, doc_of, word_of, part_of, words, *_flat(lists, words, sizes, starts, flat)))
+        parts.append((at, doc_of, word_of.astype(np.int32), part_of, words.astype(np.int32)))
     epochs = max(epochs, -(-steps // len(parts)))
     t, mean, n_mean = 0, [np.zeros_like(p) for p in (emb, out, bias)], 0
     for epoch in range(epochs):
         pace = rate * (1.0 - 0.8 * epoch / epochs)
-        for at, doc_of, word_of, part_of, words, gram, owner in parts:
+        for at, doc_of, word_of, part_of, words in parts:
             t += 1
+            gram, owner = _flat(words, sizes, starts, flat)  # found anew each time: kept, they would be most of the memory
             inverse = (1.0 / np.maximum(sizes[words], 1))[:, None].astype(np.float32)
             word = _sum(owner, emb[gram], len(words)) * inverse
             doc = _sum(doc_of, word[word_of] * part_of[:, None], len(at))
@@ -161,7 +170,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     return SubwordModel(model.table * slope, model.bias * slope + offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 8000, **options) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 6000, **options) -> SubwordModel:
     """Fit on labelled documents: at most about ``rows_each`` of each class, with texts of up to ``max_chars`` characters.
 
     labels: doc_id and label (0, 1; null is no label; a repeated id counts once, with its largest label). Both bounds are for
