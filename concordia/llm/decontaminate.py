@@ -112,7 +112,13 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, n: int, keep: tuple[str, ...
     lengths = [r[0] for r in items.select("len").distinct().collect()] or [n]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], norm(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).withColumn("__row", F.monotonically_increasing_id())
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("w", i + 1, F.lit(k)), " ").alias("window")))).otherwise(F.array().cast("array<struct<at:int,len:int,window:string>>")) for k in lengths]))
+    empty = F.array().cast("array<struct<at:int,len:int,window:string>>")
+
+    def windows(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("w", i + 1, F.lit(k)), " ").alias("window")))
+        return F.when(F.size("w") >= k, each).otherwise(empty)
+
+    grams = F.flatten(F.array(*map(windows, lengths)))
     seen = rows.select("__row", F.explode(grams).alias("g")).select("__row", "g.*")
     hits = seen.join(item_windows, ["len", "window"])
     per = hits.groupBy("__row").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)))).alias("hit"))
