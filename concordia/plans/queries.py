@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import fold_text, html_to_text, pseudonym
-from ..operators import compare, metrics, records, sampling, text
+from ..operators import compare, metrics, records, rounds, sampling, text
 from .backbone import lists, lists_sql, table, verdicts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,3 +408,49 @@ def hourly_events(spark, d):
     from ..streaming.reviews import windowed_counts
 
     return windowed_counts(table(spark, d, "events"))
+
+
+@query(BITS_SQL + ", u AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rater, cast(sum(truth * {r}) AS BIGINT) AS correct, cast(sum(truth * (1 - {r})) AS BIGINT) AS missed, cast(sum((1 - truth) * {r}) AS BIGINT) AS spurious, max({r}) AS has FROM k GROUP BY 1" for r in RATERS) + ") SELECT doc_id, rater, CASE WHEN has = 1 THEN correct END AS correct, CASE WHEN has = 1 THEN missed END AS missed, CASE WHEN has = 1 THEN spurious END AS spurious FROM u")
+def error_attribution(spark, d):
+    c = compare.claims(compare.identify(compare.align(lists(spark, d).repartition("doc_id"))))
+    return rounds.error_attribution(c, RATERS, "reference")
+
+
+@query("SELECT docs, required, deferred, carried, p50, p95, required / docs AS rate FROM (SELECT count(*) AS docs, count_if(event_type = 'click') AS required, count_if(user_id % 7 = 0) AS deferred, count_if(user_id % 3 = 0) AS carried, quantile_disc(CASE WHEN value >= 0 THEN value END, 0.5) AS p50, quantile_disc(CASE WHEN value >= 0 THEN value END, 0.95) AS p95 FROM events)")
+def expert_workload(spark, d):
+    e = table(spark, d, "events")
+    return rounds.workload(e.select((F.col("event_type") == "click").alias("required"), F.when(F.col("user_id") % 7 == 0, "deferred").otherwise("finalized").alias("status"), (F.col("user_id") % 3 == 0).alias("carried"), F.col("value").alias("seconds")))
+
+
+@query("WITH a AS (SELECT c_custkey AS k, c_mktsegment AS x FROM customer WHERE c_custkey % 11 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN 'changed' ELSE c_mktsegment END AS x FROM customer WHERE c_custkey % 17 <> 0) SELECT coalesce(a.k, b.k) AS doc_id, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' ELSE 'changed' END AS how FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.x IS DISTINCT FROM b.x")
+def carried_batches(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("digest"))
+    b = c.where("doc_id % 17 <> 0").withColumn("digest", F.when(F.col("doc_id") % 13 == 0, "changed").otherwise(F.col("digest")))
+    return rounds.same_batch(c.where("doc_id % 11 <> 0"), b)
+
+
+@query("SELECT verdict, docs, exact, spans, unverified, retries, CASE WHEN spans > 0 THEN unverified / spans END AS unverified_rate FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'TIE' END AS verdict, count(*) AS docs, count_if(o_orderkey % 4 = 0) AS exact, cast(sum(o_custkey % 5) AS BIGINT) AS spans, cast(sum(CASE WHEN o_custkey % 5 > 3 THEN 1 ELSE 0 END) AS BIGINT) AS unverified, cast(sum(o_orderkey % 3) AS BIGINT) AS retries FROM orders GROUP BY 1)")
+def judge_scores(spark, d):
+    o, c = table(spark, d, "orders"), F.col("o_custkey")
+    return rounds.judge_scores(o.select(F.when(c % 3 == 0, "A").when(c % 3 == 1, "B").otherwise("TIE").alias("verdict"), (F.col("o_orderkey") % 4 == 0).alias("exact"), (c % 5).alias("spans"), (c % 5 > 3).cast("long").alias("unverified"), (F.col("o_orderkey") % 3 + 1).alias("attempts")))
+
+
+@query("WITH r AS (SELECT l_orderkey AS doc_id, l_suppkey % 13 AS article, cast(l_linenumber AS BIGINT) AS pos, l_returnflag AS status, l_partkey FROM lineitem) SELECT doc_id, article, min(pos) AS pos, max_by(l_partkey, (status = 'A', l_partkey % 2, l_partkey, status, -pos)) AS l_partkey, max_by(status, (status = 'A', l_partkey % 2, l_partkey, status, -pos)) AS status FROM r GROUP BY 1, 2")
+def core_survivors(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 13).alias("article"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_returnflag").alias("status"), "l_partkey")
+    return rounds.survivors(li, ("doc_id", "article"), (F.col("status") == "A", F.col("l_partkey") % 2, F.col("l_partkey"), F.col("status")))
+
+
+@query()
+def replay_packs(spark, d):
+    w = text.token_windows(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("int").alias("n")), "n", 512, 128)
+    return rounds.replay_packs(w.select("doc_id", "ordinal", (F.col("end") - F.col("start")).alias("n")), 2048)
+
+
+@query()
+def extra_triage(spark, d):
+    """Extra references quoted from benchmark passages or from their own document, by kind."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 5, 30)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("193 "), F.substring("text", 1, 10))).otherwise("not in any text 193")
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("193 "), F.col("text"))).otherwise(F.col("text")).alias("text"), quote.alias("source_text"), F.when(F.col("doc_id") % 2 == 0, "193").otherwise("").alias("law_no"))
+    return rounds.triage(rows).groupBy("kind").agg(F.count("*").alias("n"))
