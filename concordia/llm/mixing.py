@@ -96,9 +96,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, s
     last = lasting(last.select(F.col("source").alias("s"), F.col("r").alias("cut"), (F.col("left") - F.col("before")).alias("rest")))
     odds = lambda x: x / (1 - x)
     ranked = placed.join(small(last), _same(placed["source"], last["s"]) & (placed["r"] == last["cut"])).where("pi > 0")
-    ranked = ranked.select("source", "doc_id", "size", (odds(F.col("u")) / odds(F.least("pi", F.lit(1 - 1e-12)))).alias("q"), F.col("rest").alias("left"))
-    picked = lasting(ranked.groupBy("source").applyInPandas(_fill, "source string, doc_id long"))
-    picked = picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.lit(1).alias("extra"))
+    ranked = ranked.select("source", F.col("doc_id").cast("string").alias("doc_id"), "size", (odds(F.col("u")) / odds(F.least("pi", F.lit(1 - 1e-12)))).alias("q"), F.col("rest").alias("left"))
+    picked = lasting(ranked.groupBy("source").applyInPandas(_fill, "source string, doc_id string"))
+    picked = picked.select(F.col("source").alias("ps"), F.col("doc_id").cast("long").alias("pd"), F.lit(1).alias("extra"))
     # every row again, with its source's few numbers and the few documents of the last ranges
     q = plan.join(last, _same(plan["source"], last["s"]), "left").select(F.col("source").alias("qs"), "source_size", "target", "whole", "pi", "ranges", F.coalesce("cut", F.col("ranges")).alias("cut"))
     every = rows
