@@ -1,12 +1,14 @@
 """Toxicity (1): bags of character n-grams, averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams (3 to 6 letters, with marks at both ends), a text's vector
-the mean over its distinct whitespace tokens, a token of n occurrences weighing 1 + ln n, and PAD empty ones, which keep short
-texts near the prior; a linear softmax reads it. Embeddings and softmax are trained together by Adam, so a
-misspelt or unseen word shares the vectors of the n-grams that it keeps. As all layers are linear, a trained model needs one
-number per n-gram to score, and a word's share of the score can be remembered.
-
-Defined results: a null or empty text, or one without letters, gets the model's bias as its score; repeated rows get equal
+A word's vector is the mean of the vectors of its character n-grams (3 to 6 letters, with marks at both ends), a passage's vector
+the mean over its ``SPAN`` whitespace tokens and PAD empty ones, which keep short passages near the prior; a linear softmax reads
+it, and a text is as toxic as its most toxic passage, however long it is. Embeddings and softmax are trained together by Adam on
+whole texts, whose passages meet in a noisy-or, the smooth form of that maximum; the n-grams' vectors start at their log odds
+between the classes, shrunk towards 0 where few texts hold them. A misspelt or unseen word shares the vectors of the n-grams that
+it keeps. As all layers are linear, a trained model needs one number per n-gram to score, and a word's share of the score can be
+remembered.
+
+Defined results: a null or empty text, or one without letters, scores as an empty passage; repeated rows get equal
 scores; other columns are ignored; without any labelled row of both classes every score is the share of label 1 (0 if none).
 """
 
@@ -14,9 +16,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
-from math import log
-from operator import mul
 from zlib import crc32
 
 import numpy as np
@@ -27,17 +26,15 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, by_arrow, ddl, need, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
+SPAN = 32
 PAD = 8
 FLOOR = 0.03
-SCALE = 100.0  # texts average hundreds of words: the scale keeps the margins of a few words in reach
+SCALE = 200.0  # a passage's mean dilutes one word's vector: the scale keeps its margin in reach
+START, GAIN, SHRINK = 4.0, 0.3, 6.0  # an empty passage's first margin below 0; size and shrinkage of the n-grams' first vectors
 
 
-def bag(text: str | None) -> tuple[list[str], list[float]]:
-    """A text's distinct tokens in order of first use, and their weights, which add up to less than 1."""
-    count = Counter((text or "").lower().split())
-    weights = [1.0 if n == 1 else 1.0 + log(n) for n in count.values()]
-    whole = sum(weights) + PAD
-    return list(count), [w / whole for w in weights]
+def tokens_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
 def grams(token: str, mask: int) -> list[int]:
@@ -54,13 +51,14 @@ def grams(token: str, mask: int) -> list[int]:
 
 
 class SubwordModel:
-    """``table``: one number per n-gram bucket, the projection of its embedding on the softmax' class difference."""
+    """``table``: one number per n-gram bucket, the projection of its embedding on the softmax' class difference; ``bias``: the
+    margin of an empty passage; slope and offset turn the largest margin of a text into log odds."""
 
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias = table, bias
+    def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0):
+        self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
 
     def scorer(self):
-        table, mask, bias = self.table, len(self.table) - 1, self.bias
+        table, mask, bias, slope, offset = self.table, len(self.table) - 1, self.bias, self.slope, self.offset
 
         class Shares(dict):
             def __missing__(self, token):
@@ -73,8 +71,13 @@ class SubwordModel:
         shares = Shares()
 
         def margin(text: str | None) -> float:
-            tokens, weights = bag(text)
-            return bias + sum(map(mul, map(shares.__getitem__, tokens), weights))
+            tokens = tokens_of(text)
+            top = 0.0
+            if n := len(tokens):
+                starts = np.arange(0, n, SPAN)
+                sums = np.add.reduceat(np.fromiter(map(shares.__getitem__, tokens), np.float64, n), starts)
+                top = float((sums / (np.minimum(SPAN, n - starts) + PAD)).max())
+            return slope * (bias + top) + offset
 
         return margin
 
@@ -104,18 +107,26 @@ def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
+def _log_odds(tokens: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, buckets: int) -> np.ndarray:
+    """Each n-gram's log odds between texts of label 1 and of label 0, shrunk by SHRINK times its variance over its square."""
+    seen = np.full((2, buckets), 0.5)
+    for words, label in zip(tokens, y, strict=True):
+        seen[int(label), np.unique(_flat(np.unique(words), sizes, starts, flat)[0])] += 1
+    odds = np.log(seen[1] / ((y == 1).sum() + 1)) - np.log(seen[0] / ((y == 0).sum() + 1))
+    return odds * np.maximum(0, 1 - SHRINK * (1 / seen).sum(0) / np.maximum(odds * odds, 1e-9))
+
+
 def train(texts: list[str], labels: list[int], weights: list[float], *, bits: int = 18, dim: int = 4, epochs: int = 12, steps: int = 150, batch: int = 192, rate: float = 0.02, seed: int = 7) -> SubwordModel:
-    """Fit on whole texts, both classes with equal weight, over ``epochs`` or as many as make ``steps`` batches; then slope and bias are set on every fifth text, which the fit left
+    """Fit on whole texts, both classes with equal weight, over ``epochs`` or as many as make ``steps`` batches; then slope and offset are set on every fifth text, which the fit left
     out, by ``weights`` that restore the classes' shares."""
     y, sw = np.asarray(labels, np.float64), np.asarray(weights, np.float64)
     share = float((y * sw).sum() / sw.sum()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(1 << bits), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    mask, vocabulary, tokens, parts_of = (1 << bits) - 1, {}, [], []
+    mask, vocabulary, tokens = (1 << bits) - 1, {}, []
     for text in texts:
-        distinct, part = bag(text)
-        parts_of.append(np.array(part, np.float32) * np.float32(SCALE))
-        tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in distinct), np.int32, len(distinct)))
+        found = tokens_of(text) or [""]
+        tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found)))
     grown, sizes = array("i"), np.zeros(len(vocabulary), np.int64)
     for i, token in enumerate(vocabulary):
         found = grams(token, mask)
@@ -124,41 +135,49 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     flat, starts = np.frombuffer(grown, np.int32), np.cumsum(sizes) - sizes
     del vocabulary
     rng = np.random.default_rng(seed)
-    emb, out, bias = rng.normal(0, 0.02, (1 << bits, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
-    emb[np.bincount(flat, minlength=1 << bits) == 0] = 0
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     order = rng.permutation(len(texts))
     held, fitted = order[::5], np.concatenate([order[i::5] for i in range(1, 5)])
     if len(set(y[held])) < 2 or len(set(y[fitted])) < 2:
         held = fitted = order
+    emb, out, bias = rng.normal(0, 0.02, (1 << bits, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)), np.array([START / 2, -START / 2])
+    emb[np.bincount(flat, minlength=1 << bits) == 0] = 0
+    toward = out[:, 1] - out[:, 0]
+    emb += (GAIN * _log_odds([tokens[i] for i in fitted], y[fitted], sizes, starts, flat, 1 << bits)[:, None] * toward / (toward @ toward)).astype(np.float32)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     balance = np.where(y == 1, 0.5 / max(1, (y[fitted] == 1).sum()), 0.5 / max(1, (y[fitted] == 0).sum())) * len(fitted)
     parts = []
     for at in np.array_split(rng.permutation(fitted), max(1, len(fitted) // batch)):
-        doc_of = np.repeat(np.arange(len(at), dtype=np.int32), [len(tokens[i]) for i in at])
+        lengths = np.array([len(tokens[i]) for i in at])
+        passages = -(-lengths // SPAN)
+        first = np.cumsum(passages) - passages
+        passage_of = np.concatenate([f + np.arange(n) // SPAN for f, n in zip(first, lengths, strict=True)]).astype(np.int32)
         words, word_of = np.unique(np.concatenate([tokens[i] for i in at]), return_inverse=True)
-        part_of = np.concatenate([parts_of[i] for i in at])
-        parts.append((at, doc_of, word_of.astype(np.int32), part_of, words.astype(np.int32)))
+        part = (SCALE / (np.bincount(passage_of) + PAD)).astype(np.float32)[:, None]
+        parts.append((at, np.repeat(np.arange(len(at), dtype=np.int32), passages), passage_of, word_of.astype(np.int32), part, words.astype(np.int32)))
     epochs = max(epochs, -(-steps // len(parts)))
     t, mean, n_mean = 0, [np.zeros_like(p) for p in (emb, out, bias)], 0
     for epoch in range(epochs):
         pace = rate * (1.0 - 0.8 * epoch / epochs)
-        for at, doc_of, word_of, part_of, words in parts:
+        for at, doc_of, passage_of, word_of, part, words in parts:
             t += 1
             gram, owner = _flat(words, sizes, starts, flat)  # found anew each time: kept, they would be most of the memory
             inverse = (1.0 / np.maximum(sizes[words], 1))[:, None].astype(np.float32)
             word = _sum(owner, emb[gram], len(words)) * inverse
-            doc = _sum(doc_of, word[word_of] * part_of[:, None], len(at))
-            z = doc @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            dz = (p - np.stack([1 - y[at], y[at]], 1)) * balance[at][:, None] / len(at)
-            dword = _sum(word_of, (dz @ out.T)[doc_of] * part_of[:, None], len(words)) * inverse
-            grads = (_sum(gram, dword[owner], 1 << bits), doc.T @ dz + 1e-4 * out, dz.sum(0))
-            for param, grad, (m, v), step in zip((emb, out, bias), grads, state, (pace, pace, pace), strict=True):
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
+            passage = _sum(passage_of, word[word_of], len(part)) * part
+            z = passage @ out + bias
+            m = z[:, 1] - z[:, 0]
+            # a text is clean if all its passages are: -log of that chance is the sum of their softplus margins
+            clean = np.bincount(doc_of, np.logaddexp(0, m), len(at))
+            dclean = np.where(y[at] == 1, -1 / np.expm1(np.clip(clean, 1e-6, 50)), 1.0) * balance[at] / len(at)
+            dm = dclean[doc_of] * sigmoid(m)
+            dz = np.stack([-dm, dm], 1)
+            dword = _sum(word_of, ((dz @ out.T) * part)[passage_of], len(words)) * inverse
+            grads = (_sum(gram, dword[owner], 1 << bits), passage.T @ dz + 1e-4 * out, dz.sum(0))
+            for param, grad, (m1, m2) in zip((emb, out, bias), grads, state, strict=True):
+                m1 += 0.1 * (grad - m1)
+                m2 += 0.01 * (grad * grad - m2)
                 # a floor under the divisor: an n-gram that is rarely seen moves by less than a common one
-                param -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + FLOOR * np.sqrt(v.max() / (1 - 0.99**t)) + 1e-12)).astype(param.dtype)
+                param -= (pace * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + FLOOR * np.sqrt(m2.max() / (1 - 0.99**t)) + 1e-12)).astype(param.dtype)
         if epoch >= epochs // 2:  # the model is the mean of the later epochs' ends, which steadies it
             n_mean += 1
             for kept, param in zip(mean, (emb, out, bias), strict=True):
@@ -167,7 +186,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     model = SubwordModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float64) * SCALE, float(bias[1] - bias[0]))
     margin = model.scorer()
     slope, offset = _platt(np.array([margin(texts[i]) for i in held]), y[held], sw[held] / sw[held].mean())
-    return SubwordModel(model.table * slope, model.bias * slope + offset)
+    return SubwordModel(model.table, model.bias, slope, offset)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 6000, **options) -> SubwordModel:

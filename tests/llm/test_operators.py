@@ -272,6 +272,11 @@ def test_toxicity(spark, docs, none):
     misspelt = spark.createDataFrame([(1, words(20, 991) + " zulmikor zulmikan"), (2, words(20, 991))], "doc_id long, text string")
     a, b = (x.score for x in toxicity.score(misspelt, model).orderBy("doc_id").collect())
     assert a > b
+    # one bad passage marks a text of any length, and texts without letters score as empty ones of any length
+    long = words(4000, 992).split()
+    margin = model.scorer()
+    assert margin(" ".join([*long[:2000], "zulmik", "qorvan", *long[2000:]])) > margin(" ".join(long))
+    assert margin("12 34 " * 5000) == margin("") == margin(None)
     out = toxicity.score(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in out)
     assert len({x.score for x in out if x.doc_id == 904}) == 1
