@@ -1,9 +1,11 @@
 """Sharding (8): Hilbert-curve ordering of documents by several metadata dimensions, cut into runs of equal counts.
 
 Dimensions: source and language (ranks by their rows' cumulative share, so that a common value gets a wide stretch), the
-logarithm of the size, and doc_id between its least and greatest. Each is quantised to ``BITS`` bits; the Hilbert index of the
-cell orders the rows (ties: text checksum, doc_id, size), so files made of runs can be pruned by any of the dimensions. A shard is a run:
-position * shards // rows. Law: ``rows``, counts differ by at most one; rows with equal texts, source and language lie together.
+logarithm of the size, and doc_id between its least and greatest. Rows with equal texts are one group and take the source, language
+and doc_id of its least row, so all of them fall in one cell. Each is quantised to ``BITS`` bits; the Hilbert index of the cell
+orders the rows (ties: text checksum and hash, source with language, doc_id), so files made of runs can be pruned by any of the
+dimensions, but for copies that differ from their group's least row. A shard is a run: position * shards // rows. Law: ``rows``, counts
+differ by at most one; rows with equal texts lie together, within them those of one source and language; only a run's cut parts them.
 
 Positions come from a range partitioning and counts by partition; no task sees more than its range, however many rows share
 a cell. Defined results: null doc_id sorts first and counts as the least; null source or language is the first value; null text has size 1;
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_arrow, lasting, need
+from .common import by_arrow, lasting, need, small
 
 BITS = 10
 
@@ -60,28 +62,33 @@ def order_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, hilbert and position (gapless from 0 in curve order), for each row."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = need(docs, doc_id="long", text="string", source="string", lang="string")
-    rows = lasting(rows.select("doc_id", "source", "lang", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")))
+    rows = lasting(rows.select("doc_id", "source", "lang", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("text_hash"), F.xxhash64(F.isnull("source"), "source", "lang").alias("origin")))
     least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     least, span = least or 0, max(1, (most or 0) - (least or 0) + 1)
-    cells = rows
+    # the least row of each group of equal texts stands for all of them; null ids and values come first
+    text = ["size", "text_crc32", "text_hash"]
+    groups = rows.groupBy(*text).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "source", "lang")).alias("first"))
+    copies = lasting(groups.where("n > 1").drop("n"))
+    own = F.coalesce("first", F.struct("doc_id", "source", "lang"))
+    cells = rows.join(small(copies), text, "left").select("doc_id", *text, "origin", own["doc_id"].alias("place_id"), own["source"].alias("source"), own["lang"].alias("lang"))
     for c in ("source", "lang"):
         r = _ranks(rows, c)
         cells = cells.join(r, cells[c].eqNullSafe(r[f"{c}_value"]), "left")
     top = F.lit((1 << BITS) - 1)
     size_cell = F.least(F.floor(F.log2("size") * (1 << BITS) / 40).cast("int"), top)
-    id_cell = F.least(F.floor((F.coalesce("doc_id", F.lit(least)) - F.lit(least)) / F.lit(float(span)) * (1 << BITS)).cast("int"), top)
-    cells = cells.select("doc_id", "size", "text_crc32", F.least("source_cell", top).alias("c0"), F.least("lang_cell", top).alias("c1"), size_cell.alias("c2"), id_cell.alias("c3"))
+    id_cell = F.least(F.floor((F.coalesce("place_id", F.lit(least)) - F.lit(least)) / F.lit(float(span)) * (1 << BITS)).cast("int"), top)
+    cells = cells.select("doc_id", *text, "origin", F.least("source_cell", top).alias("c0"), F.least("lang_cell", top).alias("c1"), size_cell.alias("c2"), id_cell.alias("c3"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             points = np.stack([batch.column(f"c{k}").to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hilbert_index(points))], names=["doc_id", "size", "text_crc32", "hilbert"])
+            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(hilbert_index(points))], names=["doc_id", "size", "text_crc32", "text_hash", "origin", "hilbert"])
 
         return step
 
-    curve = by_arrow(cells, make, "doc_id long, size long, text_crc32 long, hilbert long")
+    curve = by_arrow(cells, make, "doc_id long, size long, text_crc32 long, text_hash long, origin long, hilbert long")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = ["hilbert", "text_crc32", "doc_id", "size"]
+    key = ["hilbert", "text_crc32", "text_hash", "origin", "doc_id", "size"]
     # written once: the ranges come from a sample, so a second evaluation could cut elsewhere
     ranged = lasting(curve.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
