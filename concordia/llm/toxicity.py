@@ -5,7 +5,8 @@ the mean over its ``SPAN`` whitespace tokens and PAD empty ones, which keep shor
 it, and a text is as toxic as its most toxic passage, however long it is. Embeddings and softmax are trained together by Adam on
 whole texts, whose passages meet in a noisy-or, the smooth form of that maximum; the n-grams' vectors start at their log odds
 between the classes, shrunk towards 0 where few texts hold them. A misspelt or unseen word shares the vectors of the n-grams that
-it keeps. As all layers are linear, a trained model needs one number per n-gram to score, and a word's share of the score can be
+it keeps. A run of over ``LONG`` letters (scripts without blanks, glued words) counts as a token every ``LONG - 5`` letters, so that all
+of its n-grams are read. As all layers are linear, a trained model needs one number per n-gram to score, and a word's share of the score can be
 remembered.
 
 Defined results: a null or empty text, or one without letters, scores as an empty passage; repeated rows get equal
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, by_arrow, ddl, need, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
+LONG = 40
 SPAN = 32
 PAD = 8
 FLOOR = 0.03
@@ -34,14 +36,34 @@ START, GAIN, SHRINK = 4.0, 0.3, 6.0  # an empty passage's first margin below 0;
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    tokens = (text or "").lower().split()
+    if max(map(len, tokens), default=0) <= LONG:
+        return tokens
+    return [piece for token in tokens for piece in (pieces(token) if len(token) > LONG else (token,))]
+
+
+def pieces(token: str) -> list[str]:
+    """A token with a run of over ``LONG`` letters as its runs, long ones in pieces that share 5 letters, so that every n-gram is in
+    one; a line break, which no token holds, stands where a run goes on."""
+    runs = LETTERS.findall(token)
+    if max(map(len, runs), default=0) <= LONG:
+        return [token]
+    out = []
+    for run in runs:
+        last = max(0, -(-(len(run) - LONG) // (LONG - 5)))
+        for k in range(last + 1):
+            at = k * (LONG - 5)
+            out.append("\n" * (k > 0) + run[at : at + LONG] + "\n" * (k < last))
+    return out
 
 
 def grams(token: str, mask: int) -> list[int]:
-    """Bucket numbers of a token's n-grams, over its letters only."""
+    """Bucket numbers of a token's n-grams, over its letters only; no mark where a line break says that the run goes on."""
     out = []
     for word in LETTERS.findall(token):
-        w = f"<{word[:40]}>" if len(word) > 40 else f"<{word}>"
+        w = f"<{word}>"
+        if "\n" in token:
+            w = w[token[0] == "\n" : len(w) - (token[-1] == "\n")]
         if w.isascii():  # a letter is a byte: encoded once
             b = w.encode()
             out += [crc32(b[i : i + n]) & mask for n in (3, 4, 5, 6) for i in range(len(b) - n + 1)]
