@@ -1,9 +1,9 @@
 """URL filters (6, native): rules, and block decisions that spread along redirects and canonical links.
 
 All DataFrame and SQL functions. A page's url is split into host and path; the longest rule that fits decides. URLs are then
-linked: a page with the target of its ``<link rel="canonical">`` and of its ``<meta http-equiv="refresh">``, with every row of a
-redirect table that is given, and with its own address without fragment, tracking parameters and ``http`` (what servers redirect
-to). Connected components over these links are aliases. A page without a rule of its own is blocked if any alias is; a page
+linked: a page with the target of its ``<link rel="canonical">`` and of its ``<meta http-equiv="refresh">``, resolved against its
+``<base href>`` and url, with every row of a redirect table that is given (targets resolved against the source), and each of these urls
+with its own address without fragment, tracking parameters and ``http`` (what servers redirect to). Connected components over these links are aliases. A page without a rule of its own is blocked if any alias is; a page
 that a rule allows stays allowed, whatever its aliases.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and has no aliases, so it is allowed;
@@ -52,17 +52,54 @@ def address(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.lit("https://"), host_of(url), rest))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/")
+    above = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+    step = lambda kept, x: F.when(x == "..", above(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.instr(path, "/.") > 0, F.array_join(F.concat(kept, end), "/")).otherwise(path)
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """``link`` as a url, relative to the url ``base``; null if it is empty, only a fragment, or of a scheme without ``://``."""
+    link = F.trim(link)
+    scheme, root = F.regexp_extract(base, "(?s)^(.*?):", 1), F.regexp_extract(base, "(?s)^.*?://[^/?#]*", 0)
+    path, own = path_of(base), F.regexp_extract(link, "(?s)^[^?#]*", 0)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+    rest = F.substr(link, F.length(own) + 1)
+    return (
+        F.when((link == "") | link.startswith("#"), None)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(root, without_dots(own), rest))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def link_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(a, b): links between urls that are aliases of each other."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
     tag = "(?is)<link\\b(?=[^>]*\\brel\\s*=\\s*[\"']?canonical\\b)[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
     refresh = "(?is)<meta\\b(?=[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b)[^>]*?\\burl\\s*=\\s*([^\"'\\s>]+)"
-    targets = F.array(address(url), F.when(F.instr(F.lower(html), "canonical") > 0, F.regexp_extract(html, tag, 1)), F.when(F.instr(F.lower(html), "refresh") > 0, F.regexp_extract(html, refresh, 1)))
+    start = "(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
+    low = F.lower(html)
+    base = F.coalesce(F.when(F.instr(low, "<base") > 0, resolved(F.regexp_extract(html, start, 1), url)), url)
     found = need(pages, url="string", html="string").where("url IS NOT NULL AND instr(url, '://') > 0")
-    edges = found.select(F.col("url").alias("a"), F.explode(F.array_distinct(targets)).alias("b"))
+    links = F.array(F.when(F.instr(low, "canonical") > 0, F.regexp_extract(html, tag, 1)), F.when(F.instr(low, "refresh") > 0, F.regexp_extract(html, refresh, 1)))
+    found = found.select("url", links.alias("links"), base.alias("base"))
+    targets = F.transform("links", lambda x: resolved(x, F.col("base")))
+    edges = found.select(F.col("url").alias("a"), F.explode(F.array_append(targets, F.lit(None).cast("string"))).alias("b"))
     if redirects is not None:
-        edges = edges.union(need(redirects, source="string", target="string"))
-    return edges.where("b IS NOT NULL AND a <> b AND instr(b, '://') > 0")
+        moved = need(redirects, source="string", target="string").where("source IS NOT NULL")
+        edges = edges.union(moved.select("source", resolved(F.col("target"), F.col("source"))))
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    a, b = F.col("a"), F.col("b")
+    edges = edges.select(F.explode(F.array(edge(a, b), edge(a, address(a)), edge(b, address(b)))).alias("e")).select("e.a", "e.b")
+    return edges.where("a IS NOT NULL AND a <> b AND instr(b, '://') > 0")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
