@@ -31,7 +31,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+TRIGGER = re.compile(r"[\d@]|\(at\)|\[at\]", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -250,8 +250,8 @@ def _trimmed(text: str, span: tuple[int, int, str]) -> tuple[int, int, str] | No
         s += 1
     while e > s and not text[e - 1].isalnum():
         e -= 1
-    digits = sum(c.isdigit() for c in text[s:e])
-    enough = {"email": re.search(r"@|\(at\)|\[at\]", text[s:e]) and e - s >= 6, "ip": digits >= 4, "card": digits >= 12, "phone": digits >= 7}[kind]
+    digits = sum(c.isdecimal() for c in text[s:e])
+    enough = {"email": re.search(r"@|\(at\)|\[at\]", text[s:e], re.IGNORECASE) and e - s >= 6, "ip": digits >= 4, "card": digits >= 12, "phone": digits >= 7}[kind]
     return (s, e, kind) if enough else None
 
 
