@@ -229,11 +229,21 @@ w AS (SELECT *, """ + POISSON + """ AS w FROM t),
 s AS (SELECT draw, sum(a_tp * w) AS a_tp, sum(a_fp * w) AS a_fp, sum(a_fn * w) AS a_fn, sum(b_tp * w) AS b_tp, sum(b_fp * w) AS b_fp, sum(b_fn * w) AS b_fn FROM w GROUP BY 1)
 SELECT cast(draw AS INT) AS draw, 2.0 * b_tp / (2 * b_tp + b_fp + b_fn) - 2.0 * a_tp / (2 * a_tp + a_fp + a_fn) AS delta FROM s""")
 def paired_bootstrap(spark, d):
+    """The first 40 draws by document hashes, as its SQL has them; the reference's 10,000 are in ``paired_interval``."""
+    return metrics.bootstrap_delta(_paired(spark, d), 40)
+
+
+@query()
+def paired_interval(spark, d):
+    """Mean, interval and verdict of the reference's 10,000 resamples."""
+    return metrics.interval(metrics.bootstrap_resamples(_paired(spark, d)))
+
+
+def _paired(spark, d):
     bits = _bits(spark, d)
     n = lambda c: F.sum(c.cast("long"))
     t, a, b = (F.col(c) == 1 for c in ("truth", "candidate", "model"))
-    docs = bits.groupBy("doc_id").agg(n(t & a).alias("a_tp"), n(a & ~t).alias("a_fp"), n(t & ~a).alias("a_fn"), n(t & b).alias("b_tp"), n(b & ~t).alias("b_fp"), n(t & ~b).alias("b_fn"))
-    return metrics.bootstrap_delta(docs, 40)
+    return bits.groupBy("doc_id").agg(n(t & a).alias("a_tp"), n(a & ~t).alias("a_fp"), n(t & ~a).alias("a_fn"), n(t & b).alias("b_tp"), n(b & ~t).alias("b_fp"), n(t & ~b).alias("b_fn"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY sha256('audit:' || o_orderkey) LIMIT 100")
