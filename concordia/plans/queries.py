@@ -297,7 +297,16 @@ def page_text(spark, d):
 
 @query("SELECT doc_id, sha256(lower(translate(text, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU'))) AS folded, sha256(regexp_replace(lower(text), '[^0-9a-zçğıöşü]+', '', 'g')) AS loose FROM documents WHERE lang IN ('en', 'de')")
 def folded_texts(spark, d):
-    docs = table(spark, d, "documents").where("lang IN ('en', 'de')")
+    return _folded_texts(table(spark, d, "documents").where("lang IN ('en', 'de')"))
+
+
+@query()
+def folded_texts_all(spark, d):
+    """The whole table."""
+    return _folded_texts(table(spark, d, "documents"))
+
+
+def _folded_texts(docs):
     return docs.select("doc_id", F.sha2(fold_text(F.col("text")), 256).alias("folded"), F.sha2(text.loose_text(F.col("text")), 256).alias("loose"))
 
 
@@ -337,8 +346,18 @@ def review_states(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN in_left > 1 THEN 'duplicate' WHEN c.c_custkey IS NULL THEN 'not_in_pool' WHEN c_nationkey % 7 = 0 THEN 'unusable' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS in_left FROM orders WHERE o_orderkey % 9 = 0) o LEFT JOIN customer c ON c_custkey = o_custkey")
 def pool_join(spark, d):
-    left = table(spark, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", F.col("o_custkey").alias("key"))
-    pool = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey")
+    return _pool_join(table(spark, d, "orders").where("o_orderkey % 9 = 0"), table(spark, d, "customer"))
+
+
+@query()
+def pool_join_all(spark, d):
+    """The whole table."""
+    return _pool_join(table(spark, d, "orders"), table(spark, d, "customer"))
+
+
+def _pool_join(orders, customer):
+    left = orders.select("o_orderkey", F.col("o_custkey").alias("key"))
+    pool = customer.select(F.col("c_custkey").alias("key"), "c_nationkey")
     return records.join_or_quarantine(left, pool, "key", F.coalesce(F.col("pool.c_nationkey") % 7 != 0, F.lit(True))).select("o_orderkey", "problem")
 
 
@@ -382,7 +401,16 @@ def judge_verdicts(spark, d):
 
 @query("SELECT doc_id, priority, row_number() OVER (ORDER BY deferred, priority, doc_id) AS position FROM (SELECT o_orderkey AS doc_id, o_custkey % 50 = 0 AS deferred, CASE WHEN o_custkey % 40 = 1 THEN 0 WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN 2 WHEN o_custkey % 10 = 2 THEN 3 ELSE 4 END AS priority FROM orders WHERE o_orderkey % 50 = 0)")
 def review_queue(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0")
+    return _review_queue(table(spark, d, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query()
+def review_queue_all(spark, d):
+    """The whole table."""
+    return _review_queue(table(spark, d, "orders"))
+
+
+def _review_queue(o):
     rows = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "RED").when(F.col("o_orderstatus") == "P", "YELLOW").otherwise("GREEN").alias("bucket"), (F.col("o_custkey") % 40 == 1).alias("pilot"), (F.col("o_custkey") % 10 == 2).alias("audit"), (F.col("o_custkey") % 50 == 0).alias("deferred"))
     return records.review_queue(rows).select("doc_id", "priority", F.row_number().over(Window.orderBy("turn")).alias("position"))
 
@@ -400,7 +428,7 @@ def pseudonyms(spark, d):
 @query()
 def spelt_references(spark, d):
     """Raw spellings through the Arrow normaliser, then the comparison."""
-    li = table(spark, d, "lineitem").where("l_linenumber < 3")
+    li = table(spark, d, "lineitem")
     names = F.element_at(F.array(*map(F.lit, ("GVK", "Harçlar Kanunu", "213 sayılı Kanun", "", "Kurumlar Vergisi Kanunu"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     rows = li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") == 1, "reference").otherwise("candidate").alias("side"), F.col("l_linenumber").cast("long").alias("pos"), F.when(F.col("l_partkey") % 5 == 3, "0193").otherwise("").alias("kanun_no"), names.alias("kanun_ad"), F.concat(F.col("l_suppkey") % 7, F.lit("/b")).alias("madde"))
     return compare.by_document(compare.compare_lists(compare.spell(rows)))
