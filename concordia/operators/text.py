@@ -14,6 +14,21 @@ def evidence_mode(source: Column, text: Column) -> Column:
     return F.when(quote == "", None).when(F.contains(text, quote), "exact").when(F.contains(fold_text(text), fold_text(quote)), "folded").when((loose_text(quote) != "") & F.contains(loose_text(text), loose_text(quote)), "loose")
 
 
+def evidence_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, mode) of every quote ``q`` that occurs in a ``text``; both are folded once, not once a pair."""
+    d = docs.select("doc_id", "text", fold_text(F.col("text")).alias("folded"), loose_text(F.col("text")).alias("loose"))
+    quote = F.trim("q")
+    q = items.select("item_id", quote.alias("q"), fold_text(quote).alias("q_folded"), loose_text(quote).alias("q_loose")).where("q <> ''")
+    exact, folded = F.contains(F.col("text"), F.col("q")), F.contains(F.col("folded"), F.col("q_folded"))
+    mode = F.when(exact, "exact").when(folded, "folded").when((F.col("q_loose") != "") & F.contains(F.col("loose"), F.col("q_loose")), "loose")
+    return d.crossJoin(small(q, 10_000)).withColumn("mode", mode).where("mode IS NOT NULL").select("doc_id", "item_id", "mode")
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """A broadcast hint while ``df`` has at most ``most_rows``."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def coverage(rows: DataFrame, by: str = "doc_id") -> DataFrame:
     """The share of a document's non-empty quotes that occur in it; 0 without any."""
     given = F.trim("source_text") != ""

@@ -284,12 +284,19 @@ def dealt_batches(spark, d):
 def evidence_hits(spark, d):
     """Quotes are few and bounded in length, so they are one array literal that each document is scanned for in place; no pair of a
     document and a quote that does not occur is ever made."""
-    quotes = [(r[0], r[1]) for r in table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).limit(10_000).collect()]
+    quotes = [(r[0], r[1]) for r in table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).collect()]
     array = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(q).alias("q")) for i, q in quotes])
     docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.filter(array, lambda x: F.contains(F.col("text"), F.trim(x["q"])))).alias("x"))
     return docs.select("doc_id", "x.item_id", text.evidence_mode(F.col("x.q"), F.col("text")).alias("mode"))
 
 
+@query()
+def evidence_modes(spark, d):
+    """Whole quotes, exact, folded and loose; the first mode that holds. The quotes are sent to every task while they are few."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    return text.evidence_pairs(docs, items)
+
+
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<head\\b[^>]*>.*?</head\\s*>|<title\\b[^>]*>.*?</title\\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|nav|header|footer)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("body"))

@@ -1,0 +1,15 @@
+"""Whole quotes are found in every mode."""
+
+from pyspark.sql import functions as F
+
+from concordia.operators import text
+
+
+def test_evidence_in_every_mode(spark):
+    docs = spark.createDataFrame([(1, "Die Straße, die GELİR vergisi: ödenir."), (2, "nothing"), (3, None)], "doc_id long, text string")
+    long = "x" * 59 + " and on"
+    items = spark.createDataFrame([(1, "ödenir."), (2, "ODENIR."), (3, "vergisi ödenir"), (4, " "), (5, None), (6, "x" * 59 + " and off")], "item_id long, q string")
+    rows = text.evidence_pairs(docs.union(spark.createDataFrame([(4, long)], docs.schema)), items)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 1, "exact"), (1, 2, "folded"), (1, 3, "loose")]
+    single = docs.crossJoin(items).withColumn("mode", text.evidence_mode(F.col("q"), F.col("text"))).where("mode IS NOT NULL").count()
+    assert single == 3
