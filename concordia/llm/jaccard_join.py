@@ -1,32 +1,42 @@
-"""N-gram Jaccard join (4): T-occurrence search with DivideSkip, in blocks that an exact signature filter forms.
+"""N-gram Jaccard join (4): T-occurrence search with DivideSkip, in blocks around pivots of rare shingles.
 
 A text's set holds its distinct word shingles as 64-bit hashes. Texts with equal sets are one class; only classes are compared.
 
-1. Blocks. Two sets of sizes a <= b with similarity >= t differ in at most (1 - t) / (1 + t) * (a + b) shingles. Shingles are dealt by
-   hash into one part more than that, so linked sets agree on a whole part. Sizes are in bands of ratio t; a set signs the parts
-   for its own band and for the next, so a pair always shares a band's parts. Empty parts sign only where a set has many of them. Classes
-   that share a signature are joined by edges to the group's least member (pre-aggregated in each Arrow batch, so a hot signature reaches
-   the shuffle once a batch), and connected components of these light edges are the candidate blocks: no link leaves a block.
-2. Search. Each block's sets meet once. Lists of set numbers by shingle are built; for a set x and the least overlap T that a partner
-   needs, DivideSkip merges the short lists by a heap, keeps the candidates with T - L hits, and looks them up in the L long lists by
-   binary search, dropping a candidate as soon as it cannot reach T. Reached overlaps are compared with 100 * overlap >= 90 * union.
-   Pairs that are already in one component are skipped; the links that remain are a spanning forest.
-   Small blocks share a task; a large one is cut into parts, and each pair of parts is a task. There are no caps.
-3. Connected components of the links give each class, and so each document, its component.
+1. Rarity. One pass over all texts counts every shingle in a sketch of fixed width (``SKETCH_BITS``; tasks' sketches are summed chunk by
+   chunk); a shingle's level is the logarithm of its counter. Level, then hash, is one order over all shingles, rare ones first.
+2. Blocks. Linked sets of sizes a <= b share ceil(t * b) shingles or more, so each has a common shingle among its first
+   n - ceil(t * n) + 1 in that order. Sets that show a shingle there join the block of the shingle's pivot, the least class showing it: a
+   linked pair always shares a block, and a block never reaches beyond one pivot, as candidates are not chained. The sets that show a
+   shingle part where a size is too far above the next smaller one for any link across. Passages that many texts share come last in
+   the order, so they seldom form blocks. A shingle that the sketch finds common is dealt by salt, and its pivots are partial minima
+   by band of sizes. Each set also has counters of its shingles by cell, about one byte for 4 shingles: the sum of two sets' lesser
+   counters bounds their overlap, and a set that could reach the threshold with no other of its block leaves it before sets move.
+3. Search. In a block, inverted lists of set numbers by shingle are built. For a set and the least overlap T that a partner needs,
+   DivideSkip heap-merges the short lists, skipping ahead where T - L hits are out of reach, and looks the candidates up in the L
+   long lists by binary search; L is the number of least estimated cost. Reached overlaps are compared with
+   100 * overlap >= percent * union. Sets that are already in one component need no further link: the pivot asks first, then the sets
+   outside the largest component, each only if sizes and cells leave it a possible partner.
+   A block of over ``BLOCK_DOCS`` sets or ``BLOCK_SHINGLES`` shingles is dealt in chunks, each with the pivot. After components of their links are known, sets outside
+   the pivot's component ask the other chunks too. There are no caps; the costly case is a block of n sets near each other but not
+   linked, whose chunks all meet: n * n / ``BLOCK_DOCS`` searches' worth of lists.
+4. Connected components of the links give each class, and so each document, its component.
 
 Defined results: null or empty texts, or texts without words, have the empty set and link with nothing (component: their own id);
 rows that repeat a doc_id are one node in the links and get a row each; a null doc_id is returned with a null
-component; other columns are ignored; an empty table gives an empty table.
+component; other columns are ignored, whatever their names; texts of any length are read whole; links are by 64-bit hashes;
+ties in the order fall by hash, which changes no result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, by_arrow, lasting, mix64, need, ngram_hashes, small
@@ -34,6 +44,8 @@ from .graph import connected_components
 
 PERCENT = 90
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+SKETCH_BITS, CHUNK_BITS = 20, 14
+HOT_ROWS = 1000  # rows of a shingle, beyond what the sketch's noise accounts for, that share a task
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, n: int = 3) -> np.ndarray:
@@ -44,98 +56,199 @@ def shingle_set(text: bytes | None, hashes: WordHashes, n: int = 3) -> np.ndarra
     return np.unique(ngram_hashes(hashes.of(words), min(n, len(words))))
 
 
-def _bands(percent: int, most: int = 1 << 34) -> np.ndarray:
-    """Least sizes of the bands: each band's sets reach, at the given similarity, into the next band but no further."""
-    starts = [1]
-    while starts[-1] < most:
-        starts.append(starts[-1] * 100 // percent + 1)
-    return np.array(starts)
-
-
-def signatures(s: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each part of a set, in its own band and the next one."""
-    out = []
-    band = int(np.searchsorted(bands, len(s), "right"))
-    mixed = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-    for b in (band, band + 1):
-        largest = int(bands[b]) - 1
-        differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = 0 if differ < 16 else 1 + differ // 400
-        parts = differ + 1 + spare
-        part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        # sums of 32-bit halves are exact in doubles for up to 2**21 shingles a part
-        a, c, n = (np.bincount(part, w, parts) for w in (low, high, None))
-        empty = n == 0
-        salt = (np.arange(parts, dtype=np.uint64) << np.uint64(16)) + np.uint64(b)
-        with np.errstate(over="ignore"):
-            sign = mix64(mix64(a.astype(np.uint64) + mix64(salt)) + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out.append(sign if empty.sum() > spare or not empty.any() else sign[~empty])
-    return np.concatenate(out)
-
-
-def sets_of(docs: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, n_shingles, and the class: two hashes of the whole set (null for the empty one)."""
-
-    def make():
-        hashes = WordHashes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            size, one, two = [], [], []
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set."""
+    with np.errstate(over="ignore"):
+        return int(mix64(s).sum().astype(np.int64)), int(mix64(s + np.uint64(0x1234567)).sum().astype(np.int64))
+
+
+def cells_of(s: np.ndarray) -> bytes | None:
+    """How many of a set's shingles fall in each cell, in bytes; a power of two of cells, one for 4 shingles or fewer. None if a
+    counter overflows."""
+    k = 16
+    while k * 4 < len(s):
+        k *= 2
+    counts = np.bincount((s & np.uint64(k - 1)).astype(np.int64), minlength=k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def possible(sizes: np.ndarray, cells: list[bytes | None], percent: int) -> np.ndarray:
+    """A mask of a block's sets: those that by sizes and cells could be similar enough to another one."""
+    keep = np.zeros(len(sizes), bool)
+    if any(c is None for c in cells):
+        return ~keep
+    width = np.array([len(c) for c in cells])
+    for k in np.unique(width):
+        own, wide = np.flatnonzero(width == k), np.flatnonzero(width == 2 * k)
+        near = np.concatenate([own, wide])
+        table = np.array([np.frombuffer(cells[i], np.uint8).astype(np.uint16) for i in own] + [np.frombuffer(cells[i], np.uint8).reshape(2, k).sum(0, dtype=np.uint16) for i in wide])
+        for row, i in enumerate(own):
+            close = np.flatnonzero((np.minimum(sizes[near], sizes[i]) * 100 >= percent * np.maximum(sizes[near], sizes[i])) & (near != i))
+            least = -(-percent * (sizes[i] + sizes[near[close]]) // (100 + percent))
+            got = close[np.minimum(table[close], table[row]).sum(1, dtype=np.int64) >= least]
+            keep[near[got]] = True
+            keep[i] |= len(got) > 0
+    return keep
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def scan(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over the texts: doc_id, n_shingles, class and cells of each row; and, in rows with ``chunk``, each task's sketch in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sketch, waiting, tokens = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+        names = ["doc_id", "n_shingles", "c1", "c2", "cells", "chunk", "counts"]
+        for batch in batches:
+            size, one, two, cells = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), hashes, n)
-                size.append(len(s))
-                with np.errstate(over="ignore"):
-                    one.append(int(mix64(s).sum().astype(np.int64)) if len(s) else None)
-                    two.append(int(mix64(s + np.uint64(0x1234567)).sum().astype(np.int64)) if len(s) else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n_shingles", "c1", "c2"])
-
-        return step
+                a, b = class_of(s) if len(s) else (None, None)
+                size.append(len(s)), one.append(a), two.append(b), cells.append(cells_of(s))
+                waiting.append(_bucket(s))
+                tokens += len(s)
+                if tokens > 1 << 20:
+                    sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
+                    waiting, tokens = [], 0
+            none = pa.nulls(len(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(cells, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        if waiting:
+            sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
+        parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
+        if parts:
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=names)
 
     rows = need(docs, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("b"))
-    return by_arrow(rows, make, "doc_id long, n_shingles long, c1 long, c2 long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, cells binary, chunk int, counts binary")
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counters on a logarithmic scale, in a byte."""
+    return np.minimum(255, np.round(4 * np.log2(1.0 + counts))).astype(np.uint8)
+
+
+def rarity(scanned: DataFrame) -> np.ndarray:
+    """The summed sketch as levels: a table of fixed size (1 << SKETCH_BITS bytes), whatever the corpus."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums.setdefault(k, np.zeros(1 << CHUNK_BITS, np.uint64))
+                sums[k] += np.frombuffer(zlib.decompress(part.as_py()), np.uint32)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(x).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "levels"])
+
+    table = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    parts = scanned.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
+    for k, levels in parts.mapInArrow(add, "chunk int, levels binary").collect():
+        table[k] = np.frombuffer(bytes(levels), np.uint8)
+    return table.ravel()
+
 
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of which a linked set must show one too: the first in the order of rarity."""
+    n = len(s) - -(-percent * len(s) // 100) + 1
+    key = (levels[_bucket(s)].astype(np.uint64) << np.uint64(56)) | (mix64(s) >> np.uint64(8))
+    return s[np.argpartition(key, n - 1)[:n]] if n < len(s) else s
 
-def candidate_edges(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
-    """(a, b): ids of documents with a common signature, each linked to the least of its group."""
+
+def shown(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(token, salt, n, c1): what each class, with its size n, shows. A common shingle's rows are dealt by a salt above 0; copies in a batch show once."""
+    counts = 2.0 ** (levels / 4.0) - 1
+    salts = np.maximum(0, np.ceil((counts - 8 * counts.mean()) / HOT_ROWS) - 1).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, salts if salts.any() else None))
 
     def make():
-        hashes, bands = WordHashes(), _bands(percent)
+        hashes, (rank, salted) = WordHashes(), shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            first: dict[bytes, int] = {}
-            signs, ids = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen: set[int] = set()
+            tokens, salt, size, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t in batch.column(0):
                 s = shingle_set(t.as_py(), hashes, n)
-                if not len(s):
-                    continue
-                same = first.setdefault(s.tobytes() if len(s) < 64 else mix64(s + np.uint64(9)).sum().tobytes() + s[:32].tobytes(), i)
-                if same != i:  # an equal set came before in this batch; it signs for their class
+                if not len(s) or (c := class_of(s)[0]) in seen:
                     continue
-                g = signatures(s, bands, percent)
-                signs.append(g)
-                ids.append(np.full(len(g), i, np.int64))
-            if not signs:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["sig", "doc_id"])
-            sign, doc = np.concatenate(signs), np.concatenate(ids)
-            order = np.lexsort((doc, sign))
-            sign, doc = sign[order], doc[order]
-            head = np.concatenate([[True], sign[1:] != sign[:-1]])
-            least = doc[head][np.cumsum(head) - 1]
-            pairs = np.unique(np.stack([least[~head], doc[~head]], 1), axis=0) if (~head).any() else np.empty((0, 2), np.int64)
-            # an edge travels as a signature of its own that both ends carry
-            with np.errstate(over="ignore"):
-                own = mix64(mix64(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) * np.uint64(3))
-            sign = np.concatenate([sign[head], own, own]).view(np.int64)
-            doc = np.concatenate([doc[head], pairs[:, 0], pairs[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(sign), pa.array(doc)], names=["sig", "doc_id"])
+                seen.add(c)
+                p = prefix(s, rank, percent)
+                tokens.append(p)
+                size.append(np.full(len(p), len(s), np.int64))
+                owner.append(np.full(len(p), c, np.int64))
+                parts = salted[_bucket(p)] if salted is not None else np.zeros(len(p), np.int64)
+                salt.append(np.where(parts > 0, 1 + (c & 0xFFFFFFF) % np.maximum(parts + 1, 1), 0))
+            columns = [np.concatenate(tokens).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(size), np.concatenate(owner)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "salt", "n", "c1"])
 
         return step
 
-    rows = need(docs, doc_id="long", text="string").where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("b"))
-    signed = by_arrow(rows, make, "sig long, doc_id long")
-    least = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
-    return signed.select(least.alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    rows = need(docs, doc_id="long", text="string").where("doc_id IS NOT NULL").select(F.col("text").cast("binary").alias("b"))
+    return by_arrow(rows, make, "token long, salt int, n long, c1 long")
+
+
+def members(rows: DataFrame, percent: int) -> DataFrame:
+    """(p, x): each class x of the block of pivot p, with p itself; classes are named by their first hash."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token, salt, size and class. A run ends where one of the first two changes or the size leaps; its first row is
+        its pivot, which is carried over batches."""
+        last, pivot = None, 0
+        for batch in batches:
+            token, salt, n, c = (batch.column(k).to_numpy() for k in range(4))
+            if not len(token):
+                continue
+            new = last is None or (token[0], salt[0]) != last[:2] or last[2] * 100 < percent * n[0]
+            head = np.concatenate([[new], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (n[:-1] * 100 < percent * n[1:])])
+            at = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
+            p = np.where(at >= 0, c[at], pivot)
+            keep = (p != c) | (salt > 0)
+            last, pivot = (token[-1], salt[-1], n[-1]), p[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, n, p, c)], names=["token", "salt", "n", "p", "x"])
+
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "c1")
+    found = lasting(dealt.mapInArrow(runs, "token long, salt int, n long, p long, x long"))
+    # a common shingle's rows: sets in one band of sizes, or in neighbouring ones, are in a band's group together
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * (1 + 1e-9)))
+    hot = found.where("salt > 0").select("token", "x", F.explode(F.array(band, band + 1)).alias("band"))
+    pivots = hot.groupBy("token", "band").agg(F.min("x").alias("m"))
+    pairs = found.where("salt = 0").select("p", "x").union(hot.join(pivots, ["token", "band"]).where("m <> x").select("m", "x")).distinct()
+    pairs = lasting(pairs)
+    return pairs.union(pairs.select("p", F.col("p").alias("x")).distinct())
+
+
+def thinned(named: DataFrame, percent: int) -> DataFrame:
+    """Blocks (p, c1, node, n) of ``named`` (with cells) without the sets that can be linked with no other set of their block; blocks of
+    over ``BLOCK_DOCS`` stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+
+        def kept():
+            mask = possible(np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], percent) if len(rows) > 1 else [False]
+            return [r[:4] for r, k in zip(rows, mask, strict=True) if k]
+
+        def send():
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["p", "c1", "node", "n"])
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("p", "c1", "node", "n", "cells")], strict=True):
+                if row[0] != now:
+                    out += kept() if rows else []
+                    now, rows = row[0], []
+                rows.append(row)
+            yield send()
+            out = []
+        out += kept() if rows else []
+        yield send()
+
+    docs = lasting(named.groupBy("p").agg(F.count("*").alias("docs")).where(F.col("docs") > BLOCK_DOCS).select(F.col("p").alias("whole")))
+    marked = named.join(small(docs), F.col("p") == F.col("whole"), "left")
+    schema = "p long, c1 long, node long, n long"
+    light = marked.where("whole IS NULL").drop("whole").repartition("p").sortWithinPartitions("p", "node").mapInArrow(run, schema)
+    return light.union(marked.where("whole IS NOT NULL").select("p", "c1", "node", "n"))
 
 
 class Index:
@@ -151,68 +264,80 @@ class Index:
         self.tokens, self.start, self.end = tokens[head], head, np.concatenate([head[1:], [len(tokens)]])
 
     def lists_of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the lists of a set's shingles that occur here."""
+        """Starts and ends of the lists of a set's shingles that occur here, the shortest list first."""
         at = np.searchsorted(self.tokens, s)
         at[at == len(self.tokens)] = 0
         at = at[self.tokens[at] == s]
+        at = at[np.argsort(self.end[at] - self.start[at], kind="stable")]
         return self.start[at], self.end[at]
 
 
-def merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of at least ``least`` of the ascending lists and their counts: a heap of list heads; long runs of many lists merge by a
-    merge sort of their presorted runs, which visits the same members in the same order."""
-    if sum(map(len, lists)) > 512:
-        merged = np.sort(np.concatenate(lists), kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        count = np.diff(np.concatenate([head, [len(merged)]]))
-        keep = count >= least
-        return merged[head[keep]], count[keep]
-    heads = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
+def merge_skip(lists: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """Members of at least ``least`` of the ascending lists, and how many hold them: a heap of the lists' heads. Where the least head
+    has too few, ``least - 1`` heads are taken off and their lists jump to the next head, as nothing before it can have enough."""
+    heads, at = [(x[0], k) for k, x in enumerate(lists)], [0] * len(lists)
     heapq.heapify(heads)
-    found, counts, now, hits = [], [], None, 0
-    while heads:
-        member, k, i = heads[0]
-        if member != now:
-            if now is not None and hits >= least:
-                found.append(now)
-                counts.append(hits)
-            now, hits = member, 0
-        hits += 1
-        if i + 1 < len(lists[k]):
-            heapq.heapreplace(heads, (int(lists[k][i + 1]), k, i + 1))
+    found, counts = [], []
+    while len(heads) >= least:
+        member, taken = heads[0][0], []
+        while heads and heads[0][0] == member:
+            taken.append(heapq.heappop(heads)[1])
+        if len(taken) >= least:
+            found.append(member)
+            counts.append(len(taken))
+            target = member + 1
         else:
-            heapq.heappop(heads)
-    if now is not None and hits >= least:
-        found.append(now)
-        counts.append(hits)
-    return np.array(found, np.int64), np.array(counts, np.int64)
+            while len(taken) < least - 1:
+                taken.append(heapq.heappop(heads)[1])
+            target = heads[0][0] if heads else member + 1
+        for k in taken:
+            at[k] = bisect_left(lists[k], target, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heads, (lists[k][at[k]], k))
+    return found, counts
+
+
+PROBE = 0.05  # a step of a probe, done for all candidates at once, against a step of the heap
+
+
+def long_lists(lengths: np.ndarray, least: int) -> int:
+    """L: how many of the longest lists are probed. Of all choices, the one with the least estimate of merged members plus probes of the
+    candidates, which are at most the merged members over the hits they need."""
+    most = min(least - 1, len(lengths) - 1)
+    if most <= 0:
+        return 0
+    merged = np.cumsum(lengths)[::-1][: most + 1].astype(np.float64)  # by L = 0, 1, ...
+    longs = np.arange(most + 1)
+    return int(np.argmin(merged + PROBE * merged / (least - longs) * longs * np.log2(lengths[-1] + 1.0)))
 
 
 def search(index: Index, s: np.ndarray, wanted: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Numbers of the index's sets, among those ``wanted`` (a mask), that are similar enough to ``s``."""
+    """Numbers of the index's sets, among those ``wanted`` (a mask; other members are left out of the lists), that are similar enough to
+    ``s``."""
     size = len(s)
     low = -(-percent * size // 100)
     least = -(-percent * (size + low) // (100 + percent))  # the overlap that the smallest partner needs
     starts, ends = index.lists_of(s)
     if len(starts) < least:
         return np.empty(0, np.int64)
-    order = np.argsort(ends - starts, kind="stable")
-    n_long = max(0, min(least - 1, len(order) - 1))
-    short, long = order[: len(order) - n_long], order[len(order) - n_long :]
-    found, count = merge_short([index.lists[starts[k] : ends[k]] for k in short], max(1, least - n_long))
+    n_long = long_lists(ends - starts, least)
+    n_short = len(starts) - n_long
+    short = (index.lists[a:b] for a, b in zip(starts[:n_short].tolist(), ends[:n_short].tolist(), strict=True))
+    found, count = merge_skip([x for x in (part[wanted[part]].tolist() for part in short) if x], least - n_long)
+    found, count = np.array(found, np.int64), np.array(count, np.int64)
     if len(found):
         other = index.sizes[found]
-        keep = wanted[found] & (other * 100 >= percent * size) & (size * 100 >= percent * other)
+        keep = (other * 100 >= percent * size) & (size * 100 >= percent * other)
         found, count, other = found[keep], count[keep], other[keep]
     if not len(found):
         return found
     need_ = -(-percent * (size + other) // (100 + percent))
-    for i, k in enumerate(long):
-        part = index.lists[starts[k] : ends[k]]
+    for i in range(n_long):
+        part = index.lists[starts[n_short + i] : ends[n_short + i]]
         at = np.searchsorted(part, found)
         at[at == len(part)] = 0
         count = count + (part[at] == found)
-        keep = count + (len(long) - 1 - i) >= need_
+        keep = count + (n_long - 1 - i) >= need_
         if not keep.all():
             found, count, other, need_ = found[keep], count[keep], other[keep], need_[keep]
             if not len(found):
@@ -220,89 +345,128 @@ def search(index: Index, s: np.ndarray, wanted: np.ndarray, percent: int = PERCE
     return found[100 * count >= percent * (size + other - count)]
 
 
-def link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the block's links. side: 0 for a whole block; 1 and 2 for the parts of a pair, whose inner links other
-    tasks find."""
+def link_block(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, first: int = 0, component: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the block's links. ``component`` gives components that are known; the set ``first`` asks before the others,
+    then all sets (of ``asks``, a mask) that are outside the largest component."""
     index = Index(sets)
-    component = np.arange(len(ids))
-    links = []
-    both = (side != 0).any()
-    for i in np.flatnonzero(side != 2) if both else range(len(ids)):
-        wanted = component != component[i]
-        if both:
-            wanted &= side == 2
-        else:
-            wanted[: i + 1] = False
+    cells = 16
+    while cells * 2 < np.median(index.sizes):
+        cells *= 2
+    table = np.stack([np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) for s in sets]).astype(np.int32)
+    component = np.arange(len(ids)) if component is None else np.unique(component, return_inverse=True)[1]
+    asks = np.ones(len(ids), bool) if asks is None else asks
+    links, largest = [], -1
+    for i in [first, *(k for k in range(len(ids)) if k != first)]:
+        if not asks[i] or component[i] == largest:
+            continue
+        wanted, size = component != component[i], index.sizes[i]
+        if not wanted.any():
+            break
+        near = np.flatnonzero(wanted & (index.sizes * 100 >= percent * size) & (size * 100 >= percent * index.sizes))
+        least = -(-percent * (size + index.sizes[near]) // (100 + percent))
+        wanted[:] = False
+        wanted[near[np.minimum(table[near], table[i]).sum(1) >= least]] = True
         if not wanted.any():
             continue
         for j in search(index, sets[i], wanted, percent).tolist():
             if component[j] != component[i]:
                 links.append((int(ids[i]), int(ids[j])))
                 component[component == component[j]] = component[i]
+        largest = int(np.bincount(component).argmax())
     return links
 
 
-def deal(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """node and its tasks, an array of (task, side), for the nodes of ``blocks`` (node, component): small blocks share a task,
-    parts of large blocks meet in pairs. sizes: doc_id, n_shingles."""
-    n = sizes.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n"))
-    light = lasting(blocks.join(n, "node"))
-    weights = lasting(light.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
-    total = weights.agg(F.sum("shingles"), F.sum("docs")).first()
-    shared = max(1, -(-(total[0] or 0) // BLOCK_SHINGLES), -(-(total[1] or 0) // BLOCK_DOCS))
-    parts = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    large = weights.withColumn("parts", parts).where("parts > 1").select("component", "parts")
-    dealt = light.join(small(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    alone = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shared)).cast("string")).alias("task"), F.lit(0).alias("side")))
-
-    def with_part(k):
-        name = F.concat_ws("-", F.lit("p"), F.col("component").cast("string"), F.least("own", k).cast("string"), F.greatest("own", k).cast("string"))
-        return F.struct(name.alias("task"), F.when(F.col("own") == k, 0).when(F.col("own") < k, 1).otherwise(2).alias("side"))
-
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), with_part)
-    return dealt.select("node", F.when(F.col("parts") == 1, alone).otherwise(pairs).alias("tasks"))
-
-
-def find_links(docs: DataFrame, dealt: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links among the documents of ``dealt``, a spanning forest by task."""
+def packed_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """``chosen`` (node, tasks) with each node's set as bytes; a doc_id's rows that are of another class are left out by c1."""
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t.as_py(), hashes, n).tobytes() for t in batch.column("b")]
-            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("tasks"), pa.array(sets, pa.binary())], names=["node", "tasks", "shingles"])
+            sets = [shingle_set(t.as_py(), hashes, n) for t in batch.column("b")]
+            same = pa.array([len(s) > 0 and class_of(s)[0] == c for s, c in zip(sets, batch.column("c1").to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("tasks"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tasks", "shingles"])
+            return out.filter(same)
 
         return step
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
-        found = link_block(pdf["node"].to_numpy(), sets, pdf["side"].to_numpy(), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
+    kind = chosen.schema["tasks"].dataType.simpleString()
     texts = need(docs, doc_id="long", text="string").select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("b"))
-    chosen = texts.join(small(lasting(dealt), 2_000_000), "node").select("node", "tasks", "b")
-    packed = by_arrow(chosen, make, "node long, tasks array<struct<task:string,side:int>>, shingles binary")
-    tasks = packed.select("node", "shingles", F.explode("tasks").alias("t")).select("t.task", "t.side", "node", "shingles")
-    return tasks.groupBy("task").applyInPandas(link, "a long, b long")
+    rows = texts.join(small(lasting(chosen)), "node").select("node", "tasks", "b", "c1")
+    return by_arrow(rows, make, f"node long, tasks {kind}, shingles binary")
+
+
+TASK = "p long, chunk int, pivot boolean, asks boolean, component long"
+
+
+def search_tasks(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b): links of each task (p, chunk). Rows of a task are neighbours in a sorted partition and are held one task at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def links():
+            ids = np.array([r[0] for r in rows], np.int64)
+            known = None if rows[0][4] is None else np.array([r[4] for r in rows], np.int64)
+            first = next((i for i, r in enumerate(rows) if r[2]), 0)
+            found = link_block(ids, [np.frombuffer(r[1], np.uint64) for r in rows], percent, first, known, np.array([r[3] for r in rows], bool))
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("p", "chunk", "node", "shingles", "pivot", "asks", "component")]
+            for p, chunk, *row in zip(*columns, strict=True):
+                if now != (p, chunk) and rows:
+                    yield links()
+                    rows = []
+                now = p, chunk
+                if not rows or row[:2] != rows[-1][:2]:  # a row that repeats doc_id and text stands once
+                    rows.append(row)
+        if rows:
+            yield links()
+
+    tasks = packed.select("node", "shingles", F.explode("tasks").alias("t")).select("t.*", "node", "shingles")
+    return tasks.repartition(partitions, "p", "chunk").sortWithinPartitions("p", "chunk", "node").mapInArrow(run, "a long, b long")
+
+
+def find_links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between the classes' first documents, a spanning forest by block."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = blocks.join(classes, blocks["x"] == classes["c1"]).select("p", F.col("x").alias("c1"), F.col("rep").alias("node"), "n", "cells")
+    named = lasting(thinned(lasting(named), percent))
+    chunks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    large = named.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("p", chunks.alias("chunks"))
+    large = lasting(large.where("chunks > 1"))
+    placed = named.join(small(large), "p", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = lasting(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")).withColumn("pivot", F.col("p") == F.col("c1")))
+    task = lambda chunk, asks, component: F.struct("p", chunk.alias("chunk"), "pivot", asks.alias("asks"), component.alias("component"))
+    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
+    mine = task(F.col("own"), F.lit(True), F.lit(None).cast("long"))
+    tasks = F.when(F.col("pivot"), F.transform(everywhere, lambda k: task(k, F.lit(True), F.lit(None).cast("long")))).otherwise(F.array(mine))
+    by_node = lambda rows: rows.groupBy("node", "c1").agg(F.flatten(F.collect_list("tasks")).alias("tasks"))  # noqa: E731  a class is in as many blocks as it shows shingles at most
+    links = lasting(search_tasks(packed_sets(docs, by_node(placed.select("node", "c1", tasks.alias("tasks"))), n), percent, partitions))
+    if large.isEmpty():
+        return links
+    groups = lasting(connected_components(links))
+    wide = placed.where("chunks > 1").join(small(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    home = lasting(wide.where("pivot").groupBy("p").agg(F.min("component").alias("home")))
+    wide = wide.join(small(home), "p").withColumn("outside", F.col("component") != F.col("home"))
+    tasks = F.transform(everywhere, lambda k: task(k, F.col("outside") & (k != F.col("own")), F.col("component")))
+    only = F.when(F.col("outside"), tasks).otherwise(F.filter(tasks, lambda t: t["chunk"] == F.col("own")))
+    again = search_tasks(packed_sets(docs, by_node(wide.select("node", "c1", only.alias("tasks"))), n), percent, partitions)
+    return lasting(links.union(again))
 
 
 def linked_components(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    rows = lasting(sets_of(docs, n))
-    classes = rows.where("c1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    scanned = lasting(scan(docs, n))
+    rows = scanned.where("chunk IS NULL").select("doc_id", "n_shingles", "c1", "c2", "cells")
+    classes = lasting(rows.where("c1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n"), F.first("cells").alias("cells")))
     copies = lasting(classes.where("rep <> last").select("c1", "c2", "rep"))
-    mapped = rows.join(small(copies), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    mapped = lasting(mapped)
-    stands = mapped.where("rep <> doc_id").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).distinct()
-    edges = lasting(candidate_edges(docs, n, percent))
-    # copies in other batches signed as well: their edges move to their class
-    for end in ("a", "b"):
-        edges = edges.join(stands, edges[end] == stands["x"], "left").withColumn(end, F.coalesce("y", end)).drop("x", "y")
-    blocks = lasting(connected_components(edges.where("a <> b")))
-
-    links = find_links(docs, deal(blocks, mapped), n, percent)
+    mapped = lasting(rows.join(small(copies), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    links = find_links(docs, members(shown(docs, rarity(scanned), n, percent), percent), classes.select("c1", "rep", "n", "cells"), n, percent)
+    # a doc_id that is repeated with other texts joins their classes
+    repeated = mapped.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("doc_id")
+    links = links.union(mapped.join(small(lasting(repeated)), "doc_id").select("doc_id", "rep"))
     groups = connected_components(links).select(F.col("node").alias("g"), "component")
     out = mapped.join(small(groups), F.col("rep") == F.col("g"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
