@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +26,21 @@ def need(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
 
+def shared_base(context: SparkContext) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one where that is unset and all is on one machine, as in
+    tests."""
+    if base := context.getConf().get("spark.checkpoint.dir"):
+        return base
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def lasting(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in ``spark.checkpoint.dir`` (a temporary folder where that is unset, as in tests)."""
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_base(sc))
     return df.checkpoint(eager=True)
 
 
@@ -53,7 +65,7 @@ def bounded_sample(rows: DataFrame, stratum: str, each: int, key: str = "doc_id"
     return rows.where(keep), counts
 
 
-def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with state that is built once a task: ``make()`` returns the function applied to each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +128,13 @@ def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def ddl(df: DataFrame, more: str) -> str:
-    """The schema of ``df`` as text, followed by ``more``."""
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+def with_row(df: DataFrame, keep: bool, **columns: str) -> DataFrame:
+    """``need`` columns and, with ``keep``, all columns of ``df`` as one struct ``row``, so that no name can clash with another."""
+    have = set(df.columns)
+    picked = [(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+    return df.select(*picked, *[F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * keep)
+
+
+def added_schema(rows: DataFrame, without: str, more: str) -> StructType:
+    """The fields of ``rows`` but for ``without``, followed by those of a DDL text."""
+    return StructType([f for f in rows.schema.fields if f.name != without] + StructType.fromDDL(more).fields)

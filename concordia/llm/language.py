@@ -5,7 +5,8 @@ predicts the codeword; the language whose codeword loses least, with each bit's
 held-back training texts, is chosen. A text is flagged as ambiguous when the two best codewords lose nearly alike.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; empty tables give empty tables; repeated rows get
-equal results; with one known language it is predicted for every text with a letter; with none, ``und``.
+equal results; texts of any length are counted whole, in memory of their own size; where losses tie, the language first by name wins;
+other columns are ignored, or kept in ``row`` whatever their names; with one known language it is predicted for every text with a letter; with none, ``und``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_arrow, ddl, need, sigmoid
+from .common import added_schema, bounded_sample, by_arrow, need, sigmoid, with_row
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 13
@@ -101,11 +102,10 @@ def fit(docs: DataFrame, *, rows_each: int = 400, max_chars: int = 30_000, **opt
     return train([r[1] for r in got], [r[2] for r in got], **options)
 
 
-def predict(docs: DataFrame, model: CodeModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score and ambiguous, for each row."""
+def predict(docs: DataFrame, model: CodeModel, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous, for each row; ``keep`` adds ``row``, a struct of all columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = ddl(rows.drop("__text"), "lang_pred string, score double, ambiguous boolean")
+    rows = with_row(docs, keep, doc_id="long", text="string")
 
     def make():
         m = shared.value
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: CodeModel, keep: tuple[str, ...] = ("doc_id"
                     scores[where], close[where] = p, near
                     block.clear(), where.clear()
 
-            for i, t in enumerate(batch.column("__text")):
+            for i, t in enumerate(batch.column("text")):
                 text = t.as_py()
                 if text and m.languages and LETTER.search(text):
                     block.append(counts(text))
@@ -130,8 +130,9 @@ def predict(docs: DataFrame, model: CodeModel, keep: tuple[str, ...] = ("doc_id"
                     if len(block) == 500:
                         flush()
             flush()
-            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(names), pa.array(scores), pa.array(close)], names=[*keep, "lang_pred", "score", "ambiguous"])
+            kept = [batch.column("row")] if keep else []
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, pa.array(names, pa.string()), pa.array(scores), pa.array(close)], names=["doc_id", *["row"] * keep, "lang_pred", "score", "ambiguous"])
 
         return step
 
-    return by_arrow(rows, make, schema)
+    return by_arrow(rows, make, added_schema(rows, "text", "lang_pred string, score double, ambiguous boolean"))

@@ -2,27 +2,30 @@
 
 Training windows come from labelled spans: those that the base patterns find in a bounded sample of documents, and synthetic
 variants of the same kinds (spelt-out e-mail addresses, phone numbers without a plus sign, spaced card numbers) put into text of
-the sample. Every text is searched whole. All trained kinds have a digit, an ``@`` or an ``(at)``/``[at]`` in them, so windows of
-characters that hold or adjoin none of these cannot carry a span; the network reads all windows around such places, overlapping
-by half. Each window is decoded by Viterbi; where windows overlap, a character takes the tag of the window in which it lies
-furthest from an end, and runs of one tag become spans over the whole text. Spans that touch a base span are dropped: base
-spans stay as they are, the network adds to them.
-
-Defined results: null texts count as empty and have no spans; texts without digit or ``@`` have none; repeated rows get equal
-results; if the sample has no base span, training uses the synthetic ones alone.
+the sample. The network reads every character of every text, in windows of ``SIZE`` characters that overlap by ``SIZE - STRIDE``. Each
+window is decoded by Viterbi (a window in which no other path can beat the all-plain one is known from the emissions alone); where
+windows overlap, each half of the overlap takes the tags of the window in which it lies further from an end, and runs of one tag
+become spans over the whole text. Spans that touch a base span are dropped: base spans stay as they are, the network adds to them.
+A span must hold what its kind cannot do without (``_trimmed``).
+
+Texts of any length are read whole, ``BLOCK`` windows at a time, so memory is bounded by the text itself. Defined results: null texts
+count as empty and have no spans; repeated rows get equal results, equal texts in a batch are read once; where decoded paths tie, the
+tag of the lower number is taken; other columns are ignored, or kept in ``row`` whatever their names; if the sample has no base span,
+training uses the synthetic ones alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, ddl, need
+from .common import added_schema, by_arrow, need, with_row
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +34,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[\d@]|\(at\)|\[at\]", re.IGNORECASE)
+TRIGGER = re.compile(r"[\d@]|\(at\)|\[at\]", re.IGNORECASE)  # around which training windows are cut; reading needs none
 
 
 def luhn(digits: str) -> bool:
@@ -81,21 +84,30 @@ def show(spans: list[tuple[int, int, str]]) -> str:
 
 # --- the network ---------------------------------------------------------------------------------------------------
 
-SIZE, STRIDE = 96, 48
+SIZE, STRIDE, BLOCK = 384, 336, 768
+PIECE = 96  # characters of a training window
 ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz.@+-_()[] \n0%,:")}
 N_CHARS, N_TAGS = len(ALPHABET) + 2, 1 + len(KINDS)
+CLASSES = np.array([ALPHABET["0"] if 48 <= c < 58 else ALPHABET.get(chr(c), N_CHARS - 1) for c in range(128)] + [N_CHARS - 1], np.uint8)
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
 
 
-def encode(text: str) -> list[int]:
+def encode(text: str) -> np.ndarray:
     """Character classes: letters without case, all digits alike, other characters together."""
-    other = N_CHARS - 1
-    return [ALPHABET["0"] if "0" <= c <= "9" else ALPHABET.get(c, other) for c in (text if text.islower() else text.lower() if len(text.lower()) == len(text) else text)]
+    low = text.lower()
+    low = low if len(low) == len(text) else text
+    if low.isascii():
+        return CLASSES[np.frombuffer(low.encode(), np.uint8)]
+    ids = CLASSES[np.minimum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    for m in OTHER_DIGIT.finditer(low):
+        ids[m.start()] = ALPHABET["0"]
+    return ids
 
 
 class Tagger:
     """Two LSTMs, a linear layer and CRF transitions; all arrays by name in ``p``."""
 
-    def __init__(self, hidden: int = 20, dim: int = 10, seed: int = 11):
+    def __init__(self, hidden: int = 8, dim: int = 10, seed: int = 11):
         r = np.random.default_rng(seed)
         self.h = hidden
         f = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -201,48 +213,123 @@ class Tagger:
                     self.p[k] -= rate * (0.5 ** (epoch // 4)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         return float(loss)
 
-    def light(self) -> Tagger:
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        return self
-
-
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows to read, multiples of STRIDE: all that hold or adjoin a trigger."""
-    cells = {m.start() // STRIDE for m in TRIGGER.finditer(text)}
-    last = max(0, (len(text) - 1) // STRIDE - 1)
-    return sorted({min(max(c + d, 0), last) for c in cells for d in (-2, -1, 0, 1)} if cells else ())
-
-
-def windows(text: str) -> tuple[list[int], np.ndarray]:
-    starts = [s * STRIDE for s in window_starts(text)]
-    ids = np.zeros((len(starts), SIZE), np.int64)
-    for row, s in zip(ids, starts, strict=True):
-        piece = encode(text[s : s + SIZE])
-        row[: len(piece)] = piece
-    return starts, ids
-
-
-def reconcile(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """Spans over the whole text from overlapping windows: a character's tag is that of the window it is most central in."""
-    best: dict[int, tuple[int, int]] = {}
-    for s, row in zip(starts, tags.tolist(), strict=True):
-        for i, tag in enumerate(row):
-            if s + i >= length:
-                break
-            depth = SIZE if s == 0 and i < STRIDE else min(i, SIZE - 1 - i)
-            if s + i not in best or best[s + i][0] < depth:
-                best[s + i] = depth, tag
-    spans, run = [], None
-    for place in [*sorted(best), length + SIZE]:
-        tag = best[place][1] if place in best else 0
-        if run and (tag != run[2] or place != run[1]):
-            if run[2]:
-                spans.append((run[0], run[1], KINDS[run[2] - 1]))
-            run = None
-        run = (run[0], place + 1, tag) if run else (place, place + 1, tag)
+    def reader(self):
+        """``tags(ids) -> (n, time)`` for ids (n, time): the same network in single precision, a row of numbers for each unit, so that every
+        step is a few operations on whole rows. Gates are tanh of half their sums; characters go through tables."""
+        f, h = np.float32, self.h
+        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])[:, None]
+        tables = {d: np.ascontiguousarray((half * (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"b{d}"]).T).astype(f)) for d in "fb"}
+        # hidden values are kept doubled, so what reads them is halved; emissions are those above the plain tag's
+        inner = {d: np.ascontiguousarray((0.5 * half * self.p[f"h{d}"].T).astype(f)) for d in "fb"}
+        above = 0.5 * (self.p["out"][:, 1:] - self.p["out"][:, :1])
+        out = {d: np.ascontiguousarray(above[k * h : (k + 1) * h].T.astype(f)) for k, d in enumerate("fb")}
+        bias, tr = (self.p["ob"][1:] - self.p["ob"][0]).astype(f)[:, None], self.p["tr"].astype(f)
+        lead = max(0.0, float((tr - tr[0, 0]).max()))  # what a step off the plain path can gain by transitions
+
+        def emissions(ids: np.ndarray) -> np.ndarray:
+            steps, n = ids.shape
+            e = np.empty((steps, N_TAGS - 1, n), f)
+            z, more, x = np.empty((4 * h, n), f), np.empty((4 * h, n), f), np.empty((N_TAGS - 1, n), f)
+            gates, new = z[: 3 * h], z[3 * h :]
+            for d in "fb":
+                c, hidden = np.zeros((h, n), f), np.zeros((h, n), f)
+                for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                    np.take(tables[d], ids[t], axis=1, out=z, mode="clip")
+                    z += np.matmul(inner[d], hidden, out=more)
+                    np.tanh(z, out=z)
+                    gates += f(1)  # twice the gates
+                    c *= gates[h : 2 * h]
+                    new *= gates[:h]
+                    c += new
+                    c *= f(0.5)
+                    np.tanh(c, out=hidden)
+                    hidden *= gates[2 * h :]
+                    if d == "f":
+                        np.add(np.matmul(out[d], hidden, out=x), bias, out=e[t])
+                    else:
+                        e[t] += np.matmul(out[d], hidden, out=x)
+            return e
+
+        def tags(ids: np.ndarray) -> np.ndarray:
+            e = emissions(np.ascontiguousarray(ids.T.astype(np.intp)))
+            found = np.zeros(ids.shape, np.uint8)
+            doubt = np.flatnonzero(e.max((0, 1)) + 2 * lead > 0)
+            if len(doubt):
+                some = np.ascontiguousarray(e[:, :, doubt].transpose(0, 2, 1))
+                found[doubt] = viterbi(np.concatenate([np.zeros((*some.shape[:2], 1), f), some], 2), tr)
+            return found
+
+        return tags
+
+
+def viterbi(e: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The best paths, (n, time), for emissions (time, n, tags)."""
+    back, best = [], e[0]
+    for t in range(1, len(e)):
+        s = best[:, :, None] + transitions[None]
+        back.append(s.argmax(1))
+        best = s.max(1) + e[t]
+    tags = [best.argmax(1)]
+    for b in reversed(back):
+        tags.append(b[np.arange(len(b)), tags[-1]])
+    return np.stack(tags[::-1], 1)
+
+
+def window_starts(length: int) -> list[int]:
+    """Starts of the windows that cover a text; the last one ends with it."""
+    return [*range(0, max(0, length - SIZE), STRIDE), max(0, length - SIZE)] if length else []
+
+
+def owned(starts: list[int], length: int) -> list[int]:
+    """Where each window's own part begins, halfway into its overlap with the one before; at last the text's end."""
+    return [0, *((a + SIZE + b) // 2 for a, b in zip(starts, starts[1:], strict=False)), length]
+
+
+def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """Runs of one tag over a whole text."""
+    edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+    return [(int(a), int(b), KINDS[tags[a] - 1]) for a, b in zip(edges, edges[1:], strict=False) if tags[a]]
+
+
+def read_texts(texts: list[str], tags) -> list[list[tuple[int, int, str]]]:
+    """Decoded spans of whole texts: windows of all texts queue up to ``BLOCK``; a text's tags are put together from its windows."""
+    spans: list[list] = [[] for _ in texts]
+    rows, places, ids = [], [], np.zeros((BLOCK, SIZE), np.uint8)
+    left: dict[int, tuple[np.ndarray, int]] = {}
+
+    def flush():
+        if not rows:
+            return
+        got = tags(ids[: len(rows)])
+        for row, (i, start, a, b) in enumerate(places):
+            whole, n = left[i]
+            whole[a:b] = got[row, a - start : b - start]
+            left[i] = whole, n - 1
+            if n == 1:
+                spans[i] = spans_of(whole)
+                del left[i]
+        rows.clear(), places.clear()
+
+    for i, text in enumerate(texts):
+        starts = window_starts(len(text))
+        if not starts:
+            continue
+        code, cuts = encode(text), owned(starts, len(text))
+        left[i] = np.zeros(len(text), np.uint8), len(starts)
+        for k, start in enumerate(starts):
+            piece = code[start : start + SIZE]
+            ids[len(rows), : len(piece)] = piece
+            ids[len(rows), len(piece) :] = 0
+            rows.append(i), places.append((i, start, cuts[k], cuts[k + 1]))
+            if len(rows) == BLOCK:
+                flush()
+    flush()
     return spans
 
 
+AT = re.compile(r"@|[(\[]\s*at\s*[)\]]|\bat\b.*\bdot\b", re.IGNORECASE | re.DOTALL)
+
+
 def _trimmed(text: str, span: tuple[int, int, str]) -> tuple[int, int, str] | None:
     """A decoded span without blanks and punctuation at its ends; None if too little is left to be personal data."""
     s, e, kind = span
@@ -251,33 +338,43 @@ def _trimmed(text: str, span: tuple[int, int, str]) -> tuple[int, int, str] | No
     while e > s and not text[e - 1].isalnum():
         e -= 1
     digits = sum(c.isdecimal() for c in text[s:e])
-    enough = {"email": re.search(r"@|\(at\)|\[at\]", text[s:e], re.IGNORECASE) and e - s >= 6, "ip": digits >= 4, "card": digits >= 12, "phone": digits >= 7}[kind]
+    enough = {"email": AT.search(text[s:e]) and e - s >= 6, "ip": digits >= 4, "card": digits >= 12, "phone": digits >= 7}[kind]
     return (s, e, kind) if enough else None
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], starts: list[int], tags: np.ndarray) -> list[tuple[int, int, str]]:
+def added_spans(text: str, base: list[tuple[int, int, str]], decoded: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Decoded spans, trimmed, that touch no base span."""
+    starts = [s for s, _, _ in base]
+    reach = np.maximum.accumulate([e for _, e, _ in base]).tolist() if base else []
     out = []
-    for span in reconcile(len(text), starts, tags):
-        got = _trimmed(text, span)
-        if got and not any(s < got[1] and got[0] < e for s, e, _ in base):
-            out.append(got)
+    for span in decoded:
+        if got := _trimmed(text, span):
+            before = bisect_left(starts, got[1])
+            if not before or reach[before - 1] <= got[0]:
+                out.append(got)
     return out
 
 
-def _variants(r: np.random.Generator) -> tuple[str, str]:
-    """A synthetic labelled span: its text and kind."""
+def variant(r: np.random.Generator, held: bool = False) -> tuple[str, str]:
+    """A synthetic labelled span: its text and kind. ``held``: of the forms that training never sees, kept for measuring."""
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
     w = lambda: "".join(r.choice(list("abcdefghijklmnoprstuvwy"), r.integers(2, 10)))
     kind = KINDS[r.integers(4)]
     if kind == "email":
         user, host, top = w() + r.choice(["", ".", "_"]) + r.choice([w(), d(2)]), w(), r.choice(["com", "org", "net", "co.uk", "de"])
-        return (f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} (at) {host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user} @ {host}.{top}")[r.integers(5)], kind
-    if kind == "ip":
-        return ".".join(str(x) for x in r.integers(0, 256, 4)), kind
-    if kind == "card":
-        sep = ("", "", " ", "-")[r.integers(4)]
-        return sep.join(d(4) for _ in range(4)), kind
-    return (f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+{d(11)}", f"{d(3)}-{d(3)}-{d(4)}")[r.integers(5)], kind
+        forms = (f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} (at) {host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user} @ {host}.{top}", f"{user} at {host} dot {top}")
+        kept = (f"{user}(at){host}.{top}", f"{user} (AT) {host} (DOT) {top}", f"{user} @{host}.{top}")
+    elif kind == "ip":
+        parts = [str(x) for x in r.integers(0, 256, 4)]
+        forms, kept = (".".join(parts),), (".".join(parts), "-".join(parts))
+    elif kind == "card":
+        four = [d(4) for _ in range(4)]
+        forms, kept = ("".join(four), "".join(four), " ".join(four), "-".join(four)), (".".join(four), "  ".join(four), f"{d(4)} {d(6)} {d(5)}")
+    else:
+        forms = (f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+{d(11)}", f"{d(3)}-{d(3)}-{d(4)}")
+        kept = (f"00{d(2)} {d(3)} {d(7)}", f"({d(3)}){d(3)}-{d(4)}", f"+{d(2)}-{d(3)}-{d(3)}-{d(4)}")
+    forms = kept if held else forms
+    return forms[r.integers(len(forms))], kind
 
 
 def training_windows(texts: list[str], n_real: int, n_made: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
@@ -286,26 +383,26 @@ def training_windows(texts: list[str], n_real: int, n_made: int, seed: int = 17)
     for text in texts:
         spans = base_spans(text)
         for s, e, _ in spans:
-            at = max(0, s - int(r.integers(0, SIZE - 20)))
-            pieces.append((text[at : at + SIZE], [(max(x, at) - at, min(y, at + SIZE) - at, k) for x, y, k in spans if x < at + SIZE and y > at]))
+            at = max(0, s - int(r.integers(0, PIECE - 20)))
+            pieces.append((text[at : at + PIECE], [(max(x, at) - at, min(y, at + PIECE) - at, k) for x, y, k in spans if x < at + PIECE and y > at]))
         for m in list(TRIGGER.finditer(text))[:3]:
-            at = max(0, m.start() - int(r.integers(10, SIZE - 10)))
-            pieces.append((text[at : at + SIZE], [(max(x, at) - at, min(y, at + SIZE) - at, k) for x, y, k in spans if x < at + SIZE and y > at]))
+            at = max(0, m.start() - int(r.integers(10, PIECE - 10)))
+            pieces.append((text[at : at + PIECE], [(max(x, at) - at, min(y, at + PIECE) - at, k) for x, y, k in spans if x < at + PIECE and y > at]))
     pieces = [pieces[i] for i in r.permutation(len(pieces))[:n_real]]
-    plain = [t for t in texts if len(t) > 2 * SIZE] or ["the text of a document without any personal data in it, only words. " * 4]
+    plain = [t for t in texts if len(t) > 2 * PIECE] or ["the text of a document without any personal data in it, only words. " * 4]
     for _ in range(n_made):
         text = plain[r.integers(len(plain))]
-        at = int(r.integers(0, len(text) - SIZE))
-        left, right = text[at : at + int(r.integers(0, 60))], text[at + 60 : at + 60 + SIZE]
+        at = int(r.integers(0, len(text) - PIECE))
+        left, right = text[at : at + int(r.integers(0, 60))], text[at + 60 : at + 60 + PIECE]
         kind = r.integers(4)
         if kind == 0:  # digits that are nothing personal: years, counts, versions, hexadecimal keys
             what, spans = (str(r.integers(1, 3000)), f"version {r.integers(1, 9)}.{r.integers(0, 20)}", f'token = "{r.bytes(16).hex()}"', f"{r.integers(1, 999)}%")[r.integers(4)], []
         else:
-            what, name = _variants(r)
+            what, name = variant(r)
             spans = [(len(left) + 1, len(left) + 1 + len(what), name)]
-        piece = f"{left} {what} {right}"[:SIZE]
+        piece = f"{left} {what} {right}"[:PIECE]
         pieces.append((piece, [(s, min(e, len(piece)), k) for s, e, k in spans if s < len(piece)]))
-    ids, tags = np.zeros((len(pieces), SIZE), np.int64), np.zeros((len(pieces), SIZE), np.int64)
+    ids, tags = np.zeros((len(pieces), PIECE), np.int64), np.zeros((len(pieces), PIECE), np.int64)
     for i, (piece, spans) in enumerate(pieces):
         code = encode(piece)
         ids[i, : len(code)] = code
@@ -314,10 +411,10 @@ def training_windows(texts: list[str], n_real: int, n_made: int, seed: int = 17)
     return ids, tags
 
 
-def train(texts: list[str], *, n_real: int = 1200, n_made: int = 1800, epochs: int = 8) -> Tagger:
-    tagger = Tagger()
+def train(texts: list[str], *, n_real: int = 1200, n_made: int = 1800, epochs: int = 8, hidden: int = 8) -> Tagger:
+    tagger = Tagger(hidden)
     tagger.fit(*training_windows(texts, n_real, n_made), epochs=epochs)
-    return tagger.light()
+    return tagger
 
 
 def fit(docs: DataFrame, *, rows: int = 600, max_chars: int = 20_000, **options) -> Tagger:
@@ -330,45 +427,29 @@ def fit(docs: DataFrame, *, rows: int = 600, max_chars: int = 20_000, **options)
     return train([t for _, t in got], **options)
 
 
-def find_pii(docs: DataFrame, tagger: Tagger, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, base and added spans (arrays of start, end, kind; code points, end exclusive), for each row."""
+def find_pii(docs: DataFrame, tagger: Tagger, keep: bool = False) -> DataFrame:
+    """doc_id, counts of base spans by kind, base_sha256, spans (base and added; kind:start:end, code points, end exclusive) and n_added,
+    for each row; ``keep`` adds ``row``, a struct of all columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = ddl(rows.drop("__text"), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    rows = with_row(docs, keep, doc_id="long", text="string")
 
     def make():
-        net = shared.value
+        tags, order = shared.value.reader(), {k: i for i, k in enumerate(KINDS)}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            base = [base_spans(t) for t in texts]
-            added: list[list] = [[] for _ in texts]
-            queue: list[tuple[int, list[int], np.ndarray]] = []
-
-            def flush():
-                if queue:
-                    tags, at = net.decode(np.concatenate([x for _, _, x in queue])), 0
-                    for i, starts, x in queue:
-                        added[i] = added_spans(texts[i], base[i], starts, tags[at : at + len(x)])
-                        at += len(x)
-                    queue.clear()
-
-            waiting = 0
-            for i, t in enumerate(texts):
-                starts, ids = windows(t)
-                if starts:
-                    queue.append((i, starts, ids))
-                    waiting += len(starts)
-                    if waiting >= 4000:
-                        flush()
-                        waiting = 0
-            flush()
-            order = {k: i for i, k in enumerate(KINDS)}
-            spans = [show(sorted(b + a, key=lambda x: (x[0], order[x[2]]))) for b, a in zip(base, added, strict=True)]
-            cols = [pa.array([sum(x[2] == k for x in b) for b in base], pa.int64()) for k in KINDS]
-            cols += [pa.array([hashlib.sha256(show(b).encode()).hexdigest() for b in base]), pa.array(spans), pa.array([len(a) for a in added], pa.int64())]
-            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *cols], names=[*keep, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            given = [t or "" for t in batch.column("text").to_pylist()]
+            texts = list(dict.fromkeys(given))
+            found = {}
+            for text, decoded in zip(texts, read_texts(texts, tags), strict=True):
+                base = base_spans(text)
+                added = added_spans(text, base, decoded)
+                spans = show(sorted(base + added, key=lambda x: (x[0], order[x[2]])))
+                found[text] = (*(sum(x[2] == k for x in base) for k in KINDS), hashlib.sha256(show(base).encode()).hexdigest(), spans, len(added))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+            cols = [pa.array([found[t][k] for t in given], kind) for k, kind in enumerate(kinds)]
+            kept = [batch.column("row")] if keep else []
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, *cols], names=["doc_id", *["row"] * keep, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
         return step
 
-    return by_arrow(rows, make, schema)
+    return by_arrow(rows, make, added_schema(rows, "text", "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"))

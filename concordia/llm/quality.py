@@ -3,11 +3,13 @@
 Each line gets a few binned features of its own and of its neighbours; the chain's two states are good and bad. Emissions and
 transitions are trained in numpy by the gradient of the exact likelihood (forward-backward). Labels are of documents: the lines
 of a good document are good; a line of a bad document is bad if a first model without chain, fitted with all lines of bad
-documents as bad, finds it more likely bad than not, and the worst line always is. A document's quality comes from the
-length-weighted marginals of its lines by a logistic curve fitted on the documents.
+documents as bad, finds it more likely bad than not, and its worst line always is. A document's quality comes from the
+length-weighted mean of its lines' marginals, by a logistic curve of that one number fitted on the documents.
 
-Defined results: a null or empty text is one empty line; a long text has any number of lines, taken whole; repeated rows get
-equal scores; without rows of both classes every score is the share of label 1 (0 if there are none).
+Defined results: a null or empty text is one empty line; a long text has any number of lines, taken whole, in about 150 bytes a line
+beside the text; texts are scored together up to ``LINES`` lines; repeated rows get equal scores; a score of 0.5 is predicted 1; other
+columns are ignored, or kept in ``row`` whatever their names; without rows of both classes every score is the share of label 1 (0 if
+there are none); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_arrow, ddl, need, sigmoid
+from .common import added_schema, bounded_sample, by_arrow, need, sigmoid, with_row
 
 UPPER, DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 SYMBOL, BAR, END = b"%$#&*!@^~<>{}[]\\=_+`", b"|", b".!?:;"
@@ -37,11 +39,16 @@ WIDTH = sum(len(e) + 1 for e in EDGES)
 STARTS = np.cumsum([0] + [len(e) + 1 for e in EDGES[:-1]])
 
 
+LINES, PIECE = 50_000, 8192
+
+
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, N_RAW) raw values and the lines' lengths; the whole text."""
+    """(lines, N_RAW) bins of a text's lines, numbered over all features, and the lines' lengths; the whole text, ``PIECE`` lines at a
+    time."""
     seen: dict[bytes, int] = {}
-    out, size = [], []
-    for line in text.split(b"\n"):
+    out, size, done = [], [], []
+    lines = text.split(b"\n")
+    for number, line in enumerate(lines, 1):
         line = line.strip()
         n = len(line) or 1
         words = line.lower().split()
@@ -59,17 +66,33 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             float(line[-1:] in b".!?:;" and bool(line)),
         ))
         size.append(n)
-    return np.array(out, np.float64), np.array(size, np.float64)
+        if number % PIECE == 0 or number == len(lines):
+            raw = np.array(out, np.float64)
+            done.append(np.stack([STARTS[j] + np.searchsorted(EDGES[j], raw[:, j], "right") for j in range(N_RAW)], 1).astype(np.int16))
+            out = []
+    return np.concatenate(done), np.array(size, np.float64)
 
 
-def binned(raw: np.ndarray) -> np.ndarray:
+def binned(own: np.ndarray) -> np.ndarray:
     """(lines, 3 * N_RAW) feature numbers: of the line, the one before and the one after (an own number at the ends)."""
-    own = np.stack([STARTS[j] + np.searchsorted(EDGES[j], raw[:, j], "right") for j in range(N_RAW)], 1)
+    own = own.astype(np.int64)
     none = np.full((1, N_RAW), WIDTH)
     before, after = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
     return np.concatenate([own, before + WIDTH, after + 2 * WIDTH + 1], 1)
 
 
+def line_scores(weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each line's ``binned`` features, ``PIECE`` lines at a time."""
+    out = np.empty(len(own))
+    for at in range(0, len(own), PIECE):
+        first = max(0, at - 1)
+        piece = binned(own[first : at + PIECE + 1])
+        if first:  # the line before is known: only its own line before is not
+            piece = piece[1:]
+        out[at : at + PIECE] = weights[piece[: min(PIECE, len(own) - at)]].sum(1)
+    return out
+
+
 N_FEATURES = 3 * WIDTH + 2
 
 
@@ -113,17 +136,16 @@ def marginals(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, p
 
 
 class LineModel:
-    def __init__(self, weights: np.ndarray, transition: np.ndarray, start: np.ndarray, curve: tuple[float, float, float]):
+    def __init__(self, weights: np.ndarray, transition: np.ndarray, start: np.ndarray, curve: tuple[float, float]):
         self.weights, self.transition, self.start, self.curve = weights, transition, start, curve
 
-    def line_marginals(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """P(bad) of each line."""
-        score = self.weights[features].sum(1)
-        return marginals(np.stack([-score / 2, score / 2], 1), self.transition, self.start, Padded(lengths))[0][:, 1]
+    def line_marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """P(bad) of each line, from ``line_scores``."""
+        return marginals(np.stack([-scores / 2, scores / 2], 1), self.transition, self.start, Padded(lengths))[0][:, 1]
 
     def margins(self, bad: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return a + b * _share(bad, sizes, lengths) + c * _worst(bad, lengths)
+        a, b = self.curve
+        return a + b * _share(bad, sizes, lengths)
 
 
 def _share(bad, sizes, lengths):
@@ -152,7 +174,7 @@ def train(texts: list[bytes], labels: list[int], weights: list[float], *, steps:
     y, sw = np.asarray(labels, np.float64), np.asarray(weights, np.float64)
     share = float((y * sw).sum() / sw.sum()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return LineModel(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2), (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0, 0.0))
+        return LineModel(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2), (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0))
     raw = [line_features(t) for t in texts]
     lengths = np.array([len(s) for _, s in raw])
     sizes = np.concatenate([s for _, s in raw])
@@ -182,13 +204,13 @@ def train(texts: list[bytes], labels: list[int], weights: list[float], *, steps:
         score = w[x].sum(1)
         p, expected, _ = marginals(np.stack([-score / 2, score / 2], 1), transition, start, pad)
         fit.step([count(p[:, 1] - state) / len(x) + ridge * w, (expected - seen) / len(x) + ridge * transition, (p[first].sum(0) - begun) / len(y) + ridge * start], 0.05)
-    model = LineModel(w, transition, start, (0.0, 0.0, 0.0))
-    bad = model.line_marginals(x, lengths)
-    v = np.stack([np.ones(len(y)), _share(bad, sizes, lengths), _worst(bad, lengths)], 1)
-    c, sw = np.zeros(3), sw / sw.sum()
+    model = LineModel(w, transition, start, (0.0, 0.0))
+    bad = model.line_marginals(w[x].sum(1), lengths)
+    v = np.stack([np.ones(len(y)), _share(bad, sizes, lengths)], 1)
+    c, sw = np.zeros(2), sw / sw.sum()
     for _ in range(40):
         q = sigmoid(v @ c)
-        h = (v * (sw * q * (1 - q))[:, None]).T @ v + 1e-4 * np.eye(3)
+        h = (v * (sw * q * (1 - q))[:, None]).T @ v + 1e-4 * np.eye(2)
         c -= np.clip(np.linalg.solve(h, v.T @ ((q - y) * sw) + 1e-4 * c), -2, 2)
     model.curve = tuple(float(z) for z in c)
     return model
@@ -205,28 +227,42 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 1200, max_chars:
     return train([r[1] for r in got], [r[2] for r in got], [counts.get(r[2], 0) / have[r[2]] for r in got], **options)
 
 
-def score(docs: DataFrame, model: LineModel, keep: tuple[str, ...] = ("doc_id",), lines: bool = False) -> DataFrame:
-    """``keep`` columns, score, predicted, and with ``lines`` also bad_lines: P(bad) of every line."""
+def score(docs: DataFrame, model: LineModel, keep: bool = False, lines: bool = False) -> DataFrame:
+    """doc_id, score, predicted, and with ``lines`` also bad_lines: P(bad) of every line; ``keep`` adds ``row``, a struct of all columns
+    of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").cast("binary").alias("__text"))
-    schema = ddl(rows.drop("__text"), "score double, predicted int" + ", bad_lines array<double>" * lines)
+    rows = with_row(docs, keep, doc_id="long", text="binary")
 
     def make():
         m = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = [line_features(t.as_py() or b"") for t in batch.column("__text")]
-            if not raw:
-                bad, lengths, z = np.zeros(0), np.zeros(0, int), np.zeros(0)
-            else:
-                lengths = np.array([len(s) for _, s in raw])
-                bad = m.line_marginals(np.concatenate([binned(f) for f, _ in raw]), lengths)
-                z = sigmoid(m.margins(bad, np.concatenate([s for _, s in raw]), lengths))
+            z, shown, waiting, held = [], [], [], 0
+
+            def flush():
+                if waiting:
+                    lengths = np.array([len(x) for x, _ in waiting])
+                    bad = m.line_marginals(np.concatenate([x for x, _ in waiting]), lengths)
+                    z.append(sigmoid(m.margins(bad, np.concatenate([s for _, s in waiting]), lengths)))
+                    if lines:
+                        shown.extend(np.split(bad, np.cumsum(lengths)[:-1]))
+                    waiting.clear()
+
+            for t in batch.column("text"):
+                own, sizes = line_features(t.as_py() or b"")
+                waiting.append((line_scores(m.weights, own), sizes))
+                held += len(sizes)
+                if held >= LINES:
+                    flush()
+                    held = 0
+            flush()
+            z = np.concatenate(z) if z else np.zeros(0)
             out = [pa.array(z), pa.array((z >= 0.5).astype(np.int32))]
             if lines:
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(bad)))
-            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *out], names=[*keep, "score", "predicted", *["bad_lines"] * lines])
+                out.append(pa.array(shown, pa.list_(pa.float64())))
+            kept = [batch.column("row")] if keep else []
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, *out], names=["doc_id", *["row"] * keep, "score", "predicted", *["bad_lines"] * lines])
 
         return step
 
-    return by_arrow(rows, make, schema)
+    return by_arrow(rows, make, added_schema(rows, "text", "score double, predicted int" + ", bad_lines array<double>" * lines))

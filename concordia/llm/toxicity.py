@@ -9,22 +9,21 @@ it keeps. A run of over ``LONG`` letters (scripts without blanks, glued words) c
 of its n-grams are read. As all layers are linear, a trained model needs one number per n-gram to score, and a word's share of the score can be
 remembered.
 
-Defined results: a null or empty text, or one without letters, scores as an empty passage; repeated rows get equal
-scores; other columns are ignored; without any labelled row of both classes every score is the share of label 1 (0 if none).
+Defined results: a null or empty text, or one without letters, scores as an empty passage; texts of any length are read whole, about
+``CHARS`` characters of a batch at a time; a score of 0.5 is predicted 1; repeated rows get equal
+scores; other columns are ignored, or kept in ``row`` whatever their names; an empty table gives an empty table; without any labelled row of both classes every score is the share of label 1 (0 if none).
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_arrow, ddl, need, sigmoid
+from .common import added_schema, bounded_sample, by_arrow, mix64, need, sigmoid, with_row
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 40
@@ -57,19 +56,47 @@ def pieces(token: str) -> list[str]:
     return out
 
 
-def grams(token: str, mask: int) -> list[int]:
-    """Bucket numbers of a token's n-grams, over its letters only; no mark where a line break says that the run goes on."""
-    out = []
-    for word in LETTERS.findall(token):
-        w = f"<{word}>"
-        if "\n" in token:
-            w = w[token[0] == "\n" : len(w) - (token[-1] == "\n")]
-        if w.isascii():  # a letter is a byte: encoded once
-            b = w.encode()
-            out += [crc32(b[i : i + n]) & mask for n in (3, 4, 5, 6) for i in range(len(b) - n + 1)]
-        else:
-            out += [crc32(w[i : i + n].encode("utf-8", "replace")) & mask for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
-    return out
+def grams(tokens: list[str], mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the tokens' n-grams, one token after the other, and how many each has. An n-gram is over letters only, with
+    marks at both ends of a run of letters, but none where a line break says that the run goes on."""
+    sizes = np.zeros(len(tokens), np.int64)
+    points = np.frombuffer(" ".join(tokens).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(points):
+        return np.empty(0, np.int32), sizes
+    letter = (points >= 97) & (points <= 122) | (points >= 65) & (points <= 90)
+    high = np.flatnonzero(points >= 128)
+    if len(high):
+        values, at = np.unique(points[high], return_inverse=True)
+        letter[high] = np.array([LETTERS.fullmatch(chr(v)) is not None for v in values.tolist()])[at]
+    edges = np.flatnonzero(np.diff(letter.view(np.int8), prepend=0, append=0))
+    first, last = edges[::2], edges[1::2]  # runs of letters
+    if not len(first):
+        return np.empty(0, np.int32), sizes
+    # the runs side by side, each with a mark before and after; 0 where the run goes on
+    length = last - first + 2
+    begin = np.cumsum(length) - length
+    run = np.repeat(np.arange(len(first)), length)
+    place = np.arange(len(run)) - begin[run]
+    marked = points[np.clip(first[run] + place - 1, 0, len(points) - 1)].astype(np.uint64)
+    breaks = np.concatenate([points == 10, [False]])
+    marked[begin] = np.where(breaks[first - 1] & (first > 0), 0, 60)
+    marked[begin + length - 1] = np.where(breaks[last], 0, 62)
+    spaces = np.cumsum(points == 32)
+    token_of = np.concatenate([[0], spaces])[first]
+    zero = np.concatenate([[0], np.cumsum(marked == 0)])
+    owner, found = [], []
+    with np.errstate(over="ignore"):
+        rolled = np.zeros(len(marked), np.uint64)
+        for n in range(1, 7):
+            at = np.arange(len(marked) - n + 1)
+            rolled = rolled[: len(at)] * np.uint64(0x9E3779B97F4A7C15) + marked[n - 1 :] + np.uint64(1)
+            if n >= 3:
+                good = at[(run[at] == run[at + n - 1]) & (zero[at + n] == zero[at])]
+                found.append((mix64(rolled[good] + np.uint64(n)) & np.uint64(mask)).astype(np.int32))
+                owner.append(token_of[run[good]])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], np.bincount(owner, minlength=len(tokens))
 
 
 class SubwordModel:
@@ -80,28 +107,48 @@ class SubwordModel:
         self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
 
     def scorer(self):
-        table, mask, bias, slope, offset = self.table, len(self.table) - 1, self.bias, self.slope, self.offset
-
-        class Shares(dict):
-            def __missing__(self, token):
-                if len(self) >= 300_000:
-                    self.clear()
-                g = grams(token, mask)
-                self[token] = s = float(table[g].mean()) if g else 0.0
-                return s
-
-        shares = Shares()
-
-        def margin(text: str | None) -> float:
-            tokens = tokens_of(text)
-            top = 0.0
-            if n := len(tokens):
-                starts = np.arange(0, n, SPAN)
-                sums = np.add.reduceat(np.fromiter(map(shares.__getitem__, tokens), np.float64, n), starts)
-                top = float((sums / (np.minimum(SPAN, n - starts) + PAD)).max())
-            return slope * (bias + top) + offset
-
-        return margin
+        """``margins(texts)`` of a list of texts; a token's share of a margin is found once and remembered, up to ``KNOWN`` tokens."""
+        table, mask, shares = self.table, len(self.table) - 1, {}
+
+        def margins(texts: list[str | None]) -> np.ndarray:
+            out, at = np.zeros(len(texts)), 0
+            while at < len(texts):  # about CHARS characters at a time
+                tokens, sizes = [], []
+                first, size = at, 0
+                while at < len(texts) and (at == first or size < CHARS):
+                    more = tokens_of(texts[at])
+                    tokens += more
+                    sizes.append(len(more))
+                    size += len(texts[at] or "")
+                    at += 1
+                if len(shares) > KNOWN:
+                    shares.clear()
+                if fresh := list(set(tokens).difference(shares)):
+                    for k in range(0, len(fresh), KNOWN):
+                        part = fresh[k : k + KNOWN]
+                        g, n = grams(part, mask)
+                        shares.update(zip(part, (np.bincount(np.repeat(np.arange(len(n)), n), table[g], len(n)) / np.maximum(n, 1)).tolist(), strict=True))
+                out[first:at] = _tops(np.fromiter(map(shares.__getitem__, tokens), np.float64, len(tokens)), np.array(sizes))
+            return self.slope * (self.bias + out) + self.offset
+
+        return margins
+
+
+KNOWN, CHARS = 300_000, 1 << 20
+
+
+def _tops(shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest mean of each text's passages of ``SPAN`` tokens and PAD empty ones, 0 at least; texts are given one after the other."""
+    passages = -(-sizes // SPAN)
+    text = np.repeat(np.arange(len(sizes)), passages)
+    if not len(text):
+        return np.zeros(len(sizes))
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)
+    starts = (np.cumsum(sizes) - sizes)[text] + offset * SPAN
+    n = np.minimum(SPAN, sizes[text] - offset * SPAN)
+    top = np.zeros(len(sizes))
+    np.maximum.at(top, text, np.add.reduceat(shares, starts) / (n + PAD))
+    return top
 
 
 def _flat(which: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +196,8 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     for text in texts:
         found = tokens_of(text) or [""]
         tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found)))
-    grown, sizes = array("i"), np.zeros(len(vocabulary), np.int64)
-    for i, token in enumerate(vocabulary):
-        found = grams(token, mask)
-        grown.extend(found)
-        sizes[i] = len(found)
-    flat, starts = np.frombuffer(grown, np.int32), np.cumsum(sizes) - sizes
+    flat, sizes = grams(list(vocabulary), mask)
+    starts = np.cumsum(sizes) - sizes
     del vocabulary
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -207,11 +250,11 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     emb, out, bias = mean
     model = SubwordModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float64) * SCALE, float(bias[1] - bias[0]))
     margin = model.scorer()
-    slope, offset = _platt(np.array([margin(texts[i]) for i in held]), y[held], sw[held] / sw[held].mean())
+    slope, offset = _platt(margin([texts[i] for i in held]), y[held], sw[held] / sw[held].mean())
     return SubwordModel(model.table, model.bias, slope, offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 6000, **options) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars: int = 12_000, **options) -> SubwordModel:
     """Fit on labelled documents: at most about ``rows_each`` of each class, with texts of up to ``max_chars`` characters.
 
     labels: doc_id and label (0, 1; null is no label; a repeated id counts once, with its largest label). Both bounds are for
@@ -226,21 +269,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars:
     return train([r[1] for r in got], [r[2] for r in got], weights, **options)
 
 
-def score(docs: DataFrame, model: SubwordModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns of ``docs`` (doc_id without any), score and predicted, a row for each row; whole texts."""
-    keep = keep or ("doc_id",)
+def score(docs: DataFrame, model: SubwordModel, keep: bool = False) -> DataFrame:
+    """doc_id, score and predicted, a row for each row; whole texts. ``keep`` adds ``row``, a struct of all columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = ddl(rows.drop("__text"), "score double, predicted int")
+    rows = with_row(docs, keep, doc_id="long", text="string")
 
     def make():
-        margin = shared.value.scorer()
+        margins = shared.value.scorer()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            z = sigmoid(np.array([margin(t.as_py()) for t in batch.column("__text")], np.float64))
-            rest = [batch.column(i) for i in range(len(keep))]
-            return pa.RecordBatch.from_arrays([*rest, pa.array(z), pa.array((z >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            z = sigmoid(margins(batch.column("text").to_pylist()))
+            kept = [batch.column("row")] if keep else []
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, pa.array(z), pa.array((z >= 0.5).astype(np.int32))], names=["doc_id", *["row"] * keep, "score", "predicted"])
 
         return step
 
-    return by_arrow(rows, make, schema)
+    return by_arrow(rows, make, added_schema(rows, "text", "score double, predicted int"))

@@ -1,26 +1,29 @@
 """Five stages over ``documents``: toxicity, n-gram Jaccard join, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them in order, writes each result as Parquet in the
-shared folder and reads it again for the next. All stages but the last return the columns of documents.
+shared folder and reads it again for the next. All stages but the last return the columns of their input, whatever their names.
+
+Defined results: null and empty texts are neither toxic (but as the model's prior says), near copies of anything nor contaminated; they
+have no words, so the mix takes them as it takes others of no words: not at all. Rows with a null doc_id are kept by the second stage and mixed by
+their texts. Of rows that repeat a doc_id one is kept. Texts are read whole. Without labels nothing is toxic, without benchmark nothing
+contaminated; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import decontaminate, jaccard_join, mixing, queries, sharding, toxicity
-from concordia.llm.common import table
+from concordia.llm.common import shared_base, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labelled documents, rejects go."""
     model = queries.toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.score(docs, model, keep=True).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows make up a twentieth or more go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~decontaminate.contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    return found.where(~decontaminate.contaminated()).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,8 @@ ORACLE_SQL = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder; a temporary one where none is set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    """A new folder under the session's checkpoint folder."""
+    base = shared_base(spark.sparkContext)
     return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 

@@ -1,13 +1,40 @@
-"""Spelt-out addresses are read and kept whatever the case of their ``at``."""
+"""Every character is read: spelt-out addresses in any case, other scripts' digits, and spans across the windows' ends."""
+
+import numpy as np
 
 from concordia.llm import pii
 
 
+def test_windows_own_a_text_between_them():
+    for n in (1, 50, pii.SIZE, pii.SIZE + 1, pii.SIZE + pii.STRIDE, 5000):
+        starts = pii.window_starts(n)
+        cuts = pii.owned(starts, n)
+        assert cuts[0] == 0 and cuts[-1] == n and all(a < b for a, b in zip(cuts, cuts[1:]))
+        assert all(s <= a and b <= s + pii.SIZE for s, a, b in zip(starts, cuts, cuts[1:]))
+    assert pii.window_starts(0) == []
+
+
+def test_reader_is_the_network():
+    """The fast reading decodes as the plain one does: emissions of the training code and Viterbi over every window."""
+    net = pii.Tagger(hidden=5, dim=4)
+    net.p["ob"][0] += 0.5
+    ids = np.random.default_rng(3).integers(0, pii.N_CHARS, (40, 60)).astype(np.uint8)
+    plain = pii.viterbi(net.emissions(ids)[0], net.p["tr"])
+    assert (net.reader()(ids) == plain).mean() > 0.999
+
+
 def test_case_of_at():
-    for at in ("(AT)", "[At]", "(at)", "@"):
+    for at in ("(AT)", "[At]", "(at)", "@", "( at )"):
         text = "word " * 60 + f"jane.doe {at} acme.org" + " word" * 60
         s = text.index("jane")
-        assert any(k * pii.STRIDE <= s < k * pii.STRIDE + pii.SIZE for k in pii.window_starts(text))
         assert pii._trimmed(text, (s, s + 18 + len(at), "email")) is not None
-    assert pii.window_starts("word " * 60) == []
-    assert pii.window_starts("word " * 60 + "٣٤٥") != []
+    assert pii._trimmed("look at the words", (0, 17, "email")) is None
+    assert (pii.encode("x ٣٤5 İ@") == pii.encode("x 345 é@")).all()
+
+
+def test_texts_longer_than_a_block_are_put_together(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    sevens = lambda ids: (ids == pii.ALPHABET["0"]).astype(np.uint8)  # noqa: E731  a network that tags digits
+    text = ("word " * 100 + "1234567 ") * 9
+    want = [(m, m + 7, "email") for m in (i for i in range(len(text)) if text.startswith("1234567", i))]
+    assert pii.read_texts(["", text, "7", "no"], sevens) == [[], want, [(0, 1, "email")], []]
