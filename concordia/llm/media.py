@@ -6,14 +6,18 @@ object at offset 0 gives the true type, which corrects a declared one; objects f
 
 Defined results: null bytes count as empty; an empty value or one without any valid object is ``application/octet-stream``,
 not valid, nothing carved; equal values give equal rows; other columns are ignored. Objects inside a confirmed one are not carved
-again, except inside containers whose payload is opaque to the validator (WAV samples), where they are.
+again, except inside containers whose payload is opaque to the validator (WAV samples), where they are. Values of any length are
+read whole; chains that validators walk in vain are remembered, so marks without an object behind them are not walked again and again;
+where two formats' marks begin at one place, the automaton's order decides; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -25,7 +29,7 @@ from .common import by_arrow, need
 UNKNOWN = "application/octet-stream"
 
 
-def _png(b: bytes, at: int):
+def _png(b: bytes, at: int, seen: dict):
     p = at + 8
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
@@ -38,7 +42,7 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _gif(b: bytes, at: int):
+def _gif(b: bytes, at: int, seen: dict):
     if at + 13 > len(b):
         return None
     p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
@@ -58,30 +62,33 @@ def _gif(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
-    p, seen = at + 2, False
+def _jpeg(b: bytes, at: int, seen: dict):
+    p, framed = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark = b[p + 1]
         if mark in (0xC0, 0xC1, 0xC2):
-            seen = True
+            framed = True
         n = struct.unpack_from(">H", b, p + 2)[0]
         if n < 2 or 0xD0 <= mark <= 0xD9:
             return None
         p += 2 + n
         if mark == 0xDA:
+            if "jpeg" in seen:  # a scan went on to the value's end before: so would this one
+                return None
             while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
                 if b[p + 1] == 0xD9:
-                    return ("image/jpeg", p + 2) if seen else None
+                    return ("image/jpeg", p + 2) if framed else None
                 if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7 or b[p + 1] == 0xFF:
                     p += 1 if b[p + 1] == 0xFF else 2
                 else:
                     break
-            if p < 0:
+            else:
+                seen["jpeg"] = True
                 return None
     return None
 
 
-def _riff(b: bytes, at: int):
+def _riff(b: bytes, at: int, seen: dict):
     if at + 12 > len(b):
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -95,55 +102,78 @@ def _riff(b: bytes, at: int):
     return (kind, end) if kind and p == end + (end - at) % 2 and need_ <= set(names) and names else None
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(b: bytes, at: int, seen: dict):
     if at + 26 > len(b):
         return None
     size, zero, start, header = struct.unpack_from("<IIII", b, at + 2)
     return ("image/bmp", at + size) if zero == 0 and header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size and at + size <= len(b) else None
 
 
-def _gzip(b: bytes, at: int):
+def _gzip(b: bytes, at: int, seen: dict):
+    d, p, view = zlib.decompressobj(31), at, memoryview(b)
     try:
-        d = zlib.decompressobj(31)
-        left = b[at:]
-        while left and not d.eof:
-            d.decompress(left, 1 << 20)
-            left = d.unconsumed_tail
-        return ("application/gzip", len(b) - len(d.unused_data)) if d.eof else None
+        while p < len(b) and not d.eof:
+            piece = view[p : p + (1 << 16)]
+            p += len(piece)
+            d.decompress(piece, 1 << 20)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, 1 << 20)
     except zlib.error:
         return None
+    return ("application/gzip", p - len(d.unused_data)) if d.eof else None
 
 
-def _zip(b: bytes, at: int):
-    p = at
-    while p + 30 <= len(b) and b[p : p + 4] == b"PK\x03\x04":
+def _zip(b: bytes, at: int, seen: dict):
+    """Entries from ``at`` to the central directory, which must say how far back the first one is. What follows a place is remembered, so
+    a chain of entries without a directory is walked once."""
+    after, p, passed = seen.setdefault("zip", {}), at, []
+    while p not in after and p + 30 <= len(b) and b[p : p + 4] == b"PK\x03\x04":
         flags, packed, name, extra = struct.unpack_from("<H", b, p + 6)[0], *struct.unpack_from("<IxxxxHH", b, p + 18)
+        passed.append(p)
         if flags & 8:
-            return None
+            p = -1
+            break
         p += 30 + name + extra + packed
-    directory = p
-    while p + 46 <= len(b) and b[p : p + 4] == b"PK\x01\x02":
-        p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
+    directory = after.get(p, p)
+    after.update(dict.fromkeys(passed, directory))
+    if directory < 0:
+        return None
+    ends = seen.setdefault("zip directory", {})
+    if directory not in ends:
+        p = directory
+        while p + 46 <= len(b) and b[p : p + 4] == b"PK\x01\x02":
+            p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
+        ends[directory] = p
+    p = ends[directory]
     if p + 22 > len(b) or b[p : p + 4] != b"PK\x05\x06":
         return None
     size, start, comment = struct.unpack_from("<IIH", b, p + 12)
     return ("application/zip", p + 22 + comment) if start == directory - at and size == p - directory and p + 22 + comment <= len(b) else None
 
 
-def _pdf(b: bytes, at: int):
-    if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b"." or (ref := b.find(b"startxref", at)) < 0:
+def _pdf(b: bytes, at: int, seen: dict):
+    """The version, then the next ``startxref`` with an offset and ``%%EOF``; the places of both marks are found once a value."""
+    if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
+        return None
+    if "pdf" not in seen:
+        seen["pdf"] = [m.start() for m in re.finditer(rb"startxref", b)], [m.start() for m in re.finditer(rb"%%EOF", b)]
+    refs, ends = seen["pdf"]
+    r = bisect_left(refs, at)
+    if r == len(refs) or (e := bisect_left(ends, refs[r])) == len(ends) or ends[e] - refs[r] > 64:
         return None
-    end = b.find(b"%%EOF", ref)
-    place = b[ref + 9 : end].strip()
-    return ("application/pdf", end + 5) if end >= 0 and place.isdigit() and at + int(place) < end else None
+    end, place = ends[e], b[refs[r] + 9 : ends[e]].strip()
+    return ("application/pdf", end + 5) if place.isdigit() and at + int(place) < end else None
 
 
-def _ogg(b: bytes, at: int):
-    p, last = at, None
+def _ogg(b: bytes, at: int, seen: dict):
+    p, last, torn = at, None, seen.setdefault("ogg", set())
+    passed = []
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
+        passed.append(p)
         n = b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if end > len(b):
+        if p in torn or end > len(b):  # its last page breaks off, as for all pages before
+            torn.update(passed)
             return None
         p = last = end
     return ("audio/ogg", last) if last else None
@@ -172,10 +202,10 @@ def sniffer():
     automaton.make_automaton()
 
     def sniff(b: bytes) -> list[tuple[str, int, int]]:
-        found, free = [], 0
+        found, free, seen = [], 0, {}  # seen: what validators have learnt about this value
         for last, (n, check) in automaton.iter(b.decode("latin-1")):
             at = last - n + 1
-            if at >= free and (got := check(b, at)):
+            if at >= free and (got := check(b, at, seen)):
                 found.append((got[0], at, got[1]))
                 free = at + n if got[0] == "audio/wav" else got[1]
         return found
