@@ -1,13 +1,14 @@
 """URL filters (6, native): rules, and block decisions that spread along redirects and canonical links.
 
 All DataFrame and SQL functions. A page's url is split into host and path; the longest rule that fits decides. URLs are then
-linked: a page with the target of its ``<link rel="canonical">`` and of its ``<meta http-equiv="refresh">``, resolved against its
-``<base href>`` and url, with every row of a redirect table that is given (targets resolved against the source), and each of these urls
+linked: a page with the targets of all its ``<link rel="canonical">`` and ``<meta http-equiv="refresh">`` tags, entities read and
+resolved against its ``<base href>`` and url, with every row of a redirect table that is given (targets resolved against the source), and each of these urls
 with its own address without fragment, tracking parameters and ``http`` (what servers redirect to). Connected components over these links are aliases. A page without a rule of its own is blocked if any alias is; a page
 that a rule allows stays allowed, whatever its aliases.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and has no aliases, so it is allowed;
-null html has no links; repeated pages get equal rows; with no rules all is allowed; other columns are ignored.
+null html has no links; html of any length is searched whole; repeated pages get equal rows; rules that tie in length go to allow; with
+no rules all is allowed; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def path_of(url: Column) -> Column:
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (as host + path) and its verdict; nulls if none does. Ties go to allow.
 
-    The rules are a fixed list of a query, so they become one expression; see ``judge`` for a rule table.
+    The rules are a short fixed list, so they become one expression.
     """
     rule = verdict = F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r[2] == "allow")):
@@ -80,6 +81,25 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+def _numeric(text: Column, pattern: str, prefix: str, base: int) -> Column:
+    """``text`` with the numeric entities of ASCII characters read that ``pattern`` finds."""
+    char = lambda n: F.chr(F.conv(n, base, 10).cast("int"))
+    plain = lambda n: F.when(char(n).isin("\\", "$"), F.concat(F.lit("\\"), char(n))).otherwise(char(n))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
+    found = F.filter(found, lambda n: F.conv(n, base, 10).cast("int").between(1, 127))
+    read = F.aggregate(found, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(prefix), n, F.lit(";")), plain(n)))
+    return F.when(F.instr(text, "&#") > 0, read).otherwise(text)
+
+
+def decoded(text: Column) -> Column:
+    """An attribute's value with its entities read: numeric ones of ASCII characters, and the named ones that urls need; ``&amp;`` last."""
+    text = _numeric(text, "&#0*([0-9]{1,3});", "&#0*", 10)
+    text = _numeric(text, "&#[xX]0*([0-9A-Fa-f]{1,2});", "&#[xX]0*", 16)
+    for name, plain in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(plain))
+    return text
+
+
 def link_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(a, b): links between urls that are aliases of each other."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
@@ -87,9 +107,11 @@ def link_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFram
     refresh = "(?is)<meta\\b(?=[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b)[^>]*?\\burl\\s*=\\s*([^\"'\\s>]+)"
     start = "(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
     low = F.lower(html)
-    base = F.coalesce(F.when(F.instr(low, "<base") > 0, resolved(F.regexp_extract(html, start, 1), url)), url)
+    base = F.coalesce(F.when(F.instr(low, "<base") > 0, resolved(decoded(F.regexp_extract(html, start, 1)), url)), url)
     found = need(pages, url="string", html="string").where("url IS NOT NULL AND instr(url, '://') > 0")
-    links = F.array(F.when(F.instr(low, "canonical") > 0, F.regexp_extract(html, tag, 1)), F.when(F.instr(low, "refresh") > 0, F.regexp_extract(html, refresh, 1)))
+    none = F.array().cast("array<string>")
+    every = lambda word, pattern: F.when(F.instr(low, word) > 0, F.regexp_extract_all(html, F.lit(pattern), 1)).otherwise(none)
+    links = F.transform(F.concat(every("canonical", tag), every("refresh", refresh)), decoded)
     found = found.select("url", links.alias("links"), base.alias("base"))
     targets = F.transform("links", lambda x: resolved(x, F.col("base")))
     edges = found.select(F.col("url").alias("a"), F.explode(F.array_append(targets, F.lit(None).cast("string"))).alias("b"))

@@ -24,3 +24,14 @@ def test_blocks_spread_along_relative_links(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages).collect()} == {**dict.fromkeys(range(1, 8), "block"), 8: "allow"}
     moved = spark.createDataFrame([("https://eight.info/ok", "//one.org/es/8")], "source string, target string")
     assert {r.verdict for r in urls.judge(pages, redirects=moved).collect()} == {"block"}
+
+
+def test_entities_and_all_tags(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a?x=1&amp;y=2",), ("&#47;es&#x2F;1",), ("&#36;&#92;&amp;lt;",), ("plain",), (None,), ("&#960;",)], "t string")
+    assert [r[0] for r in rows.select(urls.decoded(F.col("t"))).collect()] == ["a?x=1&y=2", "/es/1", "$\\&lt;", "plain", None, "&#960;"]
+    html = '<link rel="canonical" href="https://ok.example/1"><link rel=canonical href="&#47;es&#47;2?a=1&amp;b=2">'
+    pages = spark.createDataFrame([(1, "https://shop.org/x", html), (2, "https://shop.org/es/2?a=1&b=2", ""), (3, "https://ok.example/1", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    assert got == {1: (None, "block"), 2: ("org/es/", "block"), 3: (None, "block")}
