@@ -9,7 +9,8 @@ differ by at most one; rows with equal texts lie together, within them those of
 
 Positions come from a range partitioning and counts by partition; no task sees more than its range, however many rows share
 a cell. Defined results: null doc_id sorts first and counts as the least; null source or language is the first value; null text has size 1;
-repeated rows have neighbouring slots; an empty table gives an empty table.
+texts of any length count with all their bytes; repeated rows have neighbouring slots; other columns are ignored, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
