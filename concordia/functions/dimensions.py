@@ -39,38 +39,67 @@ NUMBERS_BY_NAME = {n: (k,) for k, n in LAW_BY_NUMBER.items()} | {
     "Borçlar Kanunu": ("818", "6098"),
     "Veraset ve İntikal Vergisi Kanunu": ("7338",),
 }
-#: short and other names of a law, by the name they stand for; each also holds in plain ASCII letters
+#: alias -> law name; letters are folded at the lookup, so the forms in plain ASCII need no entries of their own
 ALIASES = {
-    "Vergi Usul Kanunu": ("vuk", "vergi usul kanunu"),
-    "Gelir Vergisi Kanunu": ("gvk", "gelir vergisi kanunu"),
-    "Kurumlar Vergisi Kanunu": ("kvk", "kurumlar vergisi kanunu"),
-    "Katma Değer Vergisi Kanunu": ("kdvk", "kdv kanunu", "katma değer vergisi kanunu"),
-    "Özel Tüketim Vergisi Kanunu": ("ötvk", "ötv kanunu", "özel tüketim vergisi kanunu"),
-    "Damga Vergisi Kanunu": ("dvk", "damga vergisi kanunu"),
-    "Harçlar Kanunu": ("harçlar kanunu",),
-    "Gider Vergileri Kanunu": ("gider vergileri kanunu", "gider vergisi kanunu"),
-    "Emlak Vergisi Kanunu": ("emlak vergisi kanunu", "emlak kanunu"),
-    "Belediye Gelirleri Kanunu": ("belediye gelirleri kanunu",),
-    "Veraset ve İntikal Vergisi Kanunu": ("veraset ve intikal vergisi kanunu", "veraset ve intikal kanunu"),
-    "Türk Ticaret Kanunu": ("türk ticaret kanunu", "ttk"),
-    "Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu": ("sosyal sigortalar ve genel sağlık sigortası kanunu", "ssgsk"),
-    "Türk Medeni Kanunu": ("türk medeni kanunu", "tmk"),
-    "Motorlu Taşıtlar Vergisi Kanunu": ("motorlu taşıtlar vergisi kanunu", "mtvk", "mtv kanunu"),
-    "Serbest Bölgeler Kanunu": ("serbest bölgeler kanunu", "sbk"),
-    "Türk Borçlar Kanunu": ("türk borçlar kanunu", "tbk"),
-    "Gümrük Kanunu": ("gümrük kanunu",),
-    "İmar Kanunu": ("imar kanunu",),
-    "İş Kanunu": ("iş kanunu",),
-    "Amme Alacaklarının Tahsil Usulü Hakkında Kanun": ("aatuhk", "aatk", "amme alacaklarının tahsil usulü hakkında kanun", "amme alacakları kanunu"),
-    "Kamu Mali Yönetimi ve Kontrol Kanunu": ("kmykk", "kamu mali yönetimi ve kontrol kanunu"),
+    "vuk": "Vergi Usul Kanunu",
+    "vergi usul kanunu": "Vergi Usul Kanunu",
+    "gvk": "Gelir Vergisi Kanunu",
+    "gelir vergisi kanunu": "Gelir Vergisi Kanunu",
+    "kvk": "Kurumlar Vergisi Kanunu",
+    "kurumlar vergisi kanunu": "Kurumlar Vergisi Kanunu",
+    "kdvk": "Katma Değer Vergisi Kanunu",
+    "kdv kanunu": "Katma Değer Vergisi Kanunu",
+    "katma değer vergisi kanunu": "Katma Değer Vergisi Kanunu",
+    "ötvk": "Özel Tüketim Vergisi Kanunu",
+    "ötv kanunu": "Özel Tüketim Vergisi Kanunu",
+    "özel tüketim vergisi kanunu": "Özel Tüketim Vergisi Kanunu",
+    "dvk": "Damga Vergisi Kanunu",
+    "damga vergisi kanunu": "Damga Vergisi Kanunu",
+    "harçlar kanunu": "Harçlar Kanunu",
+    "gider vergileri kanunu": "Gider Vergileri Kanunu",
+    "gider vergisi kanunu": "Gider Vergileri Kanunu",
+    "emlak vergisi kanunu": "Emlak Vergisi Kanunu",
+    "emlak kanunu": "Emlak Vergisi Kanunu",
+    "belediye gelirleri kanunu": "Belediye Gelirleri Kanunu",
+    "veraset ve intikal vergisi kanunu": "Veraset ve İntikal Vergisi Kanunu",
+    "veraset ve intikal kanunu": "Veraset ve İntikal Vergisi Kanunu",
+    "türk ticaret kanunu": "Türk Ticaret Kanunu",
+    "ttk": "Türk Ticaret Kanunu",
+    "sosyal sigortalar ve genel sağlık sigortası kanunu": "Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu",
+    "ssgsk": "Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu",
+    "türk medeni kanunu": "Türk Medeni Kanunu",
+    "tmk": "Türk Medeni Kanunu",
+    "motorlu taşıtlar vergisi kanunu": "Motorlu Taşıtlar Vergisi Kanunu",
+    "mtvk": "Motorlu Taşıtlar Vergisi Kanunu",
+    "mtv kanunu": "Motorlu Taşıtlar Vergisi Kanunu",
+    "serbest bölgeler kanunu": "Serbest Bölgeler Kanunu",
+    "sbk": "Serbest Bölgeler Kanunu",
+    "türk borçlar kanunu": "Türk Borçlar Kanunu",
+    "tbk": "Türk Borçlar Kanunu",
+    "gümrük kanunu": "Gümrük Kanunu",
+    "imar kanunu": "İmar Kanunu",
+    "iş kanunu": "İş Kanunu",
+    "aatuhk": "Amme Alacaklarının Tahsil Usulü Hakkında Kanun",
+    "aatk": "Amme Alacaklarının Tahsil Usulü Hakkında Kanun",
+    "amme alacaklarının tahsil usulü hakkında kanun": "Amme Alacaklarının Tahsil Usulü Hakkında Kanun",
+    "amme alacakları kanunu": "Amme Alacaklarının Tahsil Usulü Hakkında Kanun",
+    "kmykk": "Kamu Mali Yönetimi ve Kontrol Kanunu",
+    "kamu mali yönetimi ve kontrol kanunu": "Kamu Mali Yönetimi ve Kontrol Kanunu",
 }
 #: words of a law's name that name no particular law (folded)
 CONTENTLESS = ("kanun", "kanunu", "kanunun", "kanununun", "sayili", "bu", "mezkur", "ilgili", "adi", "gecen")
 #: numbers that say "no number"
 EMPTY_NUMBERS = ("null", "none", "nan", "yok", "-", "—", "–", "n/a")
-#: article qualifiers: folded word -> spelling; the long ones allow one slip
-QUALIFIERS = {"mukerrer": "mükerrer", "gecici": "geçici"}
-QUALIFIER_SHORT = {"muk": "mükerrer", "gec": "geçici", "ek": "ek"}
+#: article qualifiers, and their abbreviations; the qualifiers of five letters or more allow one slip
+QUALIFIERS = ("ek", "geçici", "mükerrer")
+QUALIFIER_ABBREVIATIONS = {"muk": "mükerrer", "gec": "geçici"}
+#: endings of ordinal numbers
+ORDINAL_ENDINGS = ("inci", "ıncı", "uncu", "üncü", "nci", "ncı", "ncu", "ncü")
+#: words that say "and the following" after "ve" (folded); "devam" also with an ending, "takip" with "eden"
+FOLLOWING = ("muteakip", "mutakip", "izleyen", "devam", "takip", "sonraki")
+#: forms of the word article after its number, and its abbreviations
+ARTICLE_FORMS = ("madde", "maddesi", "maddesinin", "maddesinde", "maddesinden")
+ARTICLE_ABBREVIATIONS = ("md", "mad", "m")
 #: widest range of articles that is spelt out
 WIDEST_RANGE = 300
 #: policies: (number, article) pairs that one removes from every list

@@ -134,8 +134,8 @@ def salvage(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("__s", read(F.col(column))).select(*rows.columns, "__s.*")
 
 
-_NAMED = sorted({a for aliases in d.ALIASES.values() for a in aliases} | {n.casefold() for n in d.ALIASES}, key=len, reverse=True)
-_LAW_OF = {fold(a): n for n, aliases in d.ALIASES.items() for a in (*aliases, n)}
+_NAMED = sorted({*d.ALIASES, *(n.casefold() for n in d.ALIASES.values())}, key=len, reverse=True)
+_LAW_OF = {fold(a): n for a, n in d.ALIASES.items()} | {fold(n): n for n in d.ALIASES.values()}
 _MENTION = re.compile(r"(?P<number>(?<!\d)\d{1,4})\s*say[ıi]l[ıi]|(?P<back>(?<!\w)(?:aynı|anılan|mezkur|söz konusu|bu)\s+kanun\w*)|(?<!\w)(?P<name>" + "|".join(map(re.escape, _NAMED)) + r")(?:['’]?(?:n?[uıiü]n?|[dn][ae]n?|na|ne))?(?!\w)", re.I)
 
 
