@@ -141,14 +141,20 @@ def compact(rows: DataFrame) -> DataFrame:
 
 
 def conflicting_laws(rows: DataFrame) -> DataFrame:
-    """doc_id, conflict: some number carries more than one particular name."""
-    names = rows.groupBy("doc_id", "law_no").agg(F.count_distinct(F.when((F.col("law_no") != "") & (F.col("name_key") != ""), F.col("name_key"))).alias("n"))
+    """doc_id, conflict: in one of its lists some number carries more than one particular name."""
+    names = rows.groupBy("doc_id", "side", "law_no").agg(F.count_distinct(F.when((F.col("law_no") != "") & (F.col("name_key") != ""), F.col("name_key"))).alias("n"))
     return names.groupBy("doc_id").agg((F.max("n") > 1).alias("conflict"))
 
 
-def route(compared: DataFrame, conflicts: DataFrame, ready: Column, parsed: Column) -> DataFrame:
-    """bucket and reasons of each document: unusable ones to QUARANTINE, contradictory or disagreeing ones to RED, else GREEN."""
+def route(compared: DataFrame, conflicts: DataFrame, ready: Column, parsed: Column, truncated: Column | None = None, safe: Column | None = None) -> DataFrame:
+    """bucket and reasons of each document: unusable ones to QUARANTINE, contradictory ones to RED, disagreeing ones to RED, else GREEN;
+    only the reasons of the first of these that holds."""
+    truncated, safe = F.lit(False) if truncated is None else truncated, F.lit(True) if safe is None else safe
     rows = compared.join(conflicts, "doc_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    why = F.array(F.when(~ready, "not_ready"), F.when(~parsed, "no_prediction"), F.when(F.col("conflict"), "conflicting_law"), F.when(F.col("fn") > 0, "missing"), F.when(F.col("fp") > 0, "extra"))
-    bucket = F.when(~ready | ~parsed, "QUARANTINE").when(F.col("conflict") | ~F.col("agree"), "RED").otherwise("GREEN")
-    return rows.withColumns({"bucket": bucket, "reasons": F.array_join(F.filter(why, lambda x: x.isNotNull()), ",")})
+    said = lambda *pairs: F.array_join(F.filter(F.array(*[F.when(c, w) for c, w in pairs]), lambda x: x.isNotNull()), ",")
+    unusable = ~ready | ~parsed | truncated | ~safe
+    bucket = F.when(unusable, "QUARANTINE").when(F.col("conflict") | ~F.col("agree"), "RED").otherwise("GREEN")
+    gates = said((~ready, "preparation_hard_error"), (~parsed, "model_processing_error"), (truncated, "model_output_truncated"), (~safe, "safe_text_missing"))
+    differs = said((F.col("fn") > 0, "missing_core_reference"), (F.col("fp") > 0, "extra_or_different_core_reference"))
+    reasons = F.when(unusable, gates).when(F.col("conflict"), "conflicting_law_identity").when(~F.col("agree"), differs).otherwise("normalized_law_article_set_equal")
+    return rows.withColumns({"bucket": bucket, "reasons": reasons})

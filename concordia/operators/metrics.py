@@ -102,22 +102,27 @@ def complementarity(bits: DataFrame, a: str, b: str, judge: str) -> DataFrame:
     return out.withColumn("union_recall", ratio(F.col("either"), F.col("truth"), None))
 
 
-def edit_distance(bits: DataFrame, a: str, b: str) -> DataFrame:
-    """Each document's fewest edits from a rater's list to the expert's, and whose list it is (ties: the first rater's)."""
-    apart = lambda r: F.sum((F.col(r) != F.col("truth")).cast("long"))
-    best = F.least(F.struct(F.col("da").alias("d"), F.lit(0).alias("o"), F.lit(a).alias("name")), F.struct(F.col("db").alias("d"), F.lit(1).alias("o"), F.lit(b).alias("name")))
-    return bits.groupBy("doc_id").agg(apart(a).alias("da"), apart(b).alias("db")).select("doc_id", best["d"].alias("distance"), best["name"].alias("closest"))
+def edit_distance(bits: DataFrame, a: str, b: str, has: DataFrame) -> DataFrame:
+    """Each document's fewest edits from a rater's list to the expert's, and whose list it is (ties: the first rater's). A rater without a
+    list (has: doc_id, has_a, has_b) is not a candidate; without either, both columns are null."""
+    apart = lambda r, h: F.when(F.bool_or(h), F.sum((F.col(r) != F.col("truth")).cast("long")))
+    by = bits.join(has, "doc_id").groupBy("doc_id").agg(apart(a, "has_a").alias("da"), apart(b, "has_b").alias("db"))
+    closest = F.when(F.col("da").isNull() & F.col("db").isNull(), None).when(F.col("da").isNull() | (F.col("db") < F.col("da")), b).otherwise(a)
+    return by.select("doc_id", F.least("da", "db").alias("distance"), closest.alias("closest"))
 
 
 # --- operations ----------------------------------------------------------------------------------------------------
 
 
 def distribution(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """count, unusable, mean, least, most, total and nearest-rank percentiles of a measure, rounded to 4 places; nulls are unmeasured."""
-    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    """measured, unusable (NaN and infinities; nulls are skipped), mean, least, most, total and nearest-rank percentiles of a measure,
+    rounded to 4 places."""
+    raw = F.col(value).cast("double")
+    v = F.when(~F.isnan(raw) & (F.abs(raw) != float("inf")), raw)
     rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v)")
-    out = rows.withColumn("__v", v).groupBy(*by).agg(F.count("__v").alias("measured"), (F.count("*") - F.count("__v")).alias("unmeasured"), *[F.round(x, 4).alias(n) for x, n in ((F.avg("__v"), "mean"), (F.min("__v"), "least"), (F.max("__v"), "most"), (F.sum("__v"), "total"))], *[F.round(rank(p), 4).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)])
-    return out
+    rounded = [F.round(x, 4).alias(n) for x, n in ((F.avg("__v"), "mean"), (F.min("__v"), "least"), (F.max("__v"), "most"), (F.sum("__v"), "total"))]
+    rounded += [F.round(rank(p), 4).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
+    return rows.withColumn("__v", v).groupBy(*by).agg(F.count("__v").alias("measured"), (F.count(value) - F.count("__v")).alias("unusable"), *rounded)
 
 
 def action_counts(rows: DataFrame, column: str, every: tuple[str, ...]) -> DataFrame:

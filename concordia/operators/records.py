@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 def join_or_quarantine(left: DataFrame, pool: DataFrame, key: str, usable: Column) -> DataFrame:
     """Left rows with their pool row, and ``problem``: no id, repeated id, no pool row, several, or not usable; in that order.
 
-    Counts are taken by key before the join, so a repeated key never multiplies rows.
+    Counts of both sides are taken by key in one aggregate before the join, so a repeated key never multiplies rows and null ids, however
+    many, meet nowhere.
     """
-    one = pool.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("in_pool"), F.first(F.struct(*[F.col(c) for c in pool.columns if c != key])).alias("pool"))
-    counted = left.withColumn("in_left", F.count("*").over(Window.partitionBy(key)))
-    out = counted.join(one, F.col(key) == F.col("__k"), "left").drop("__k")
+    one = pool.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("in_pool"), F.first(F.struct(*[F.col(c) for c in pool.columns if c != key])).alias("pool"))
+    twice = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__l")).agg(F.count("*").alias("in_left")).where("in_left > 1")
+    out = left.join(one, F.col(key) == F.col("__k"), "left").drop("__k").join(twice, F.col(key) == F.col("__l"), "left").drop("__l")
+    out = out.withColumn("in_left", F.coalesce("in_left", F.lit(1)))
     problem = F.when(F.col(key).isNull(), "missing_id").when(F.col("in_left") > 1, "duplicate").when(F.col("in_pool").isNull(), "not_in_pool").when(F.col("in_pool") > 1, "ambiguous").when(~usable, "unusable")
     return out.withColumn("problem", problem)
 
@@ -70,10 +72,36 @@ def unblind(rows: DataFrame, verdict: str = "verdict", mapping: str = "mapping")
     return rows.withColumn("winner", F.when(F.col(verdict).isin("A", "B"), F.element_at(F.str_to_map(F.col(mapping), F.lit(","), F.lit("=")), F.col(verdict))).otherwise(F.col(verdict)))
 
 
-def review_queue(rows: DataFrame, bucket: str = "bucket", key: str = "doc_id") -> DataFrame:
-    """priority and position: pilot, then RED and QUARANTINE, YELLOW, audited, the rest; deferred last."""
-    p = F.when(F.col("pilot"), 0).when(F.col(bucket).isin("RED", "QUARANTINE"), 1).when(F.col(bucket) == "YELLOW", 2).when(F.col("audit"), 3).otherwise(4)
-    return rows.withColumn("priority", p).withColumn("turn", F.struct(F.col("deferred").cast("int"), "priority", key))
+def review_priority(escalated: bool = False) -> Column:
+    """Pilot 0, RED and QUARANTINE 1, YELLOW 2, audited GREEN 3, any GREEN of an escalated batch 4; null: no review is required."""
+    bucket = F.col("bucket")
+    p = F.when(F.col("pilot"), 0).when(bucket.isin("RED", "QUARANTINE"), 1).when(bucket == "YELLOW", 2).when(F.col("audit"), 3)
+    return p.when(bucket == "GREEN", 4) if escalated else p
+
+
+def review_queue(rows: DataFrame, escalated: bool = False, key: str = "doc_id") -> DataFrame:
+    """Documents that require a review and have no final one, with priority and position; deferred ones last within a priority.
+
+    rows: key, bucket, pilot, audit, status. Positions come from sorted ranges and counts by range: no task sees more than its range.
+    """
+    queue = rows.withColumn("priority", review_priority(escalated)).where("priority IS NOT NULL AND status <> 'finalized'")
+    return numbered(queue.withColumn("late", (F.col("status") == "deferred").cast("int")), ("priority", "late", key), "position").drop("late")
+
+
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str, first: int = 1) -> DataFrame:
+    """``name``: the row's place in ``order`` (a total one), from ``first``. Ranges are counted by their greatest key, as a second evaluation may cut
+    them elsewhere: a row's place is the rows of lesser ranges and its place in its own."""
+    key = F.struct(*order)
+    sample = rows.select(key.alias("k")).sample(False, 0.01, 7).limit(20_000).select("k").distinct().orderBy("k").collect()
+    cuts = [r.k for r in sample][:: max(1, len(sample) // 64)]
+    kind = rows.select(key.alias("k")).schema["k"].dataType
+    edges = rows.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(cuts)], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("k", kind)]))
+    bounds = edges.agg(F.sort_array(F.collect_list(F.struct("k", "i"))).alias("edges"))
+    placed = rows.join(F.broadcast(bounds), F.lit(True)).withColumn("__part", F.size(F.filter("edges", lambda e: e["k"] <= key))).drop("edges")
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # 65 rows at most
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + within + (first - 1)).drop("__part", "__before")
 
 
 Row = tuple[str, str, str]

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions import dimensions as d
 from ..functions.normalize import fold
 from .metrics import ratio
-from .text import evidence_mode
 
 
 def error_attribution(claimed: DataFrame, raters: tuple[str, ...], expert: str) -> DataFrame:
@@ -31,13 +30,6 @@ def error_attribution(claimed: DataFrame, raters: tuple[str, ...], expert: str)
     return rows.select("doc_id", "rater", *[F.when(F.col("has") == 1, F.col(c)).alias(c) for c in ("correct", "missed", "spurious")])
 
 
-def triage(extra: DataFrame) -> DataFrame:
-    """Why a candidate's extra reference is one: its quote is not in the text, its number is not in its quote, or it is an addition."""
-    grounded = evidence_mode(F.col("source_text"), F.col("text")).isNotNull()
-    labelled = (F.col("law_no") == "") | F.regexp_like("source_text", F.concat(F.lit("(?<![0-9])"), F.col("law_no"), F.lit("(?![0-9])")))
-    return extra.withColumn("kind", F.when(~grounded, "ungrounded").when(~labelled, "inconsistent").otherwise("addition"))
-
-
 def workload(reviews: DataFrame, seconds: str = "seconds") -> DataFrame:
     """Documents, required reviews and their rate, deferred, carried, and nearest-rank percentiles of the measured seconds."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

@@ -2,31 +2,78 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.normalize import fold_text, loose_text
+from ..functions.normalize import clean, folded, loose
 
 
-def evidence_mode(source: Column, text: Column) -> Column:
-    """How a quote occurs in its document: exact, folded, loose or null, the first that does."""
-    quote = F.trim(source)
-    return F.when(quote == "", None).when(F.contains(text, quote), "exact").when(F.contains(fold_text(text), fold_text(quote)), "folded").when((loose_text(quote) != "") & F.contains(loose_text(text), loose_text(quote)), "loose")
+def mode_of(quote: str | None, text: str | None) -> str | None:
+    """How a quote occurs in its document's text: exact, folded, loose or null, the first that does."""
+    q, t = clean(quote), clean(text)
+    if not q:
+        return None
+    if q in t:
+        return "exact"
+    if folded(q) in folded(t):
+        return "folded"
+    return "loose" if loose(q) and loose(q) in loose(t) else None
 
 
-def evidence_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, mode) of every quote ``q`` that occurs in a ``text``; both are folded once, not once a pair."""
-    d = docs.select("doc_id", "text", fold_text(F.col("text")).alias("folded"), loose_text(F.col("text")).alias("loose"))
-    quote = F.trim("q")
-    q = items.select("item_id", quote.alias("q"), fold_text(quote).alias("q_folded"), loose_text(quote).alias("q_loose")).where("q <> ''")
-    exact, folded = F.contains(F.col("text"), F.col("q")), F.contains(F.col("folded"), F.col("q_folded"))
-    mode = F.when(exact, "exact").when(folded, "folded").when((F.col("q_loose") != "") & F.contains(F.col("loose"), F.col("q_loose")), "loose")
-    return d.crossJoin(small(q, 10_000)).withColumn("mode", mode).where("mode IS NOT NULL").select("doc_id", "item_id", "mode")
+@F.pandas_udf(T.StringType())
+def evidence_mode(source: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([mode_of(q, t) for q, t in zip(source, text, strict=True)], dtype=object)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint while ``df`` has at most ``most_rows``."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+MODES = (("exact", clean), ("folded", folded), ("loose", loose))
+
+
+def evidence_pairs(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, mode) of every quote ``q`` that occurs in a ``text``, whole, by the first mode that holds.
+
+    Quotes go to the tasks in blocks of ``block``, each block as one automaton a mode, which finds all its quotes in one pass over a
+    text; so the work is in the texts and the hits, whatever the number of quotes.
+    """
+    import ahocorasick
+
+    quotes = [(r[0], r[1]) for r in items.select("item_id", "q").where("q IS NOT NULL").toLocalIterator()]
+    kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, mode string"
+
+    def find(part):
+        def run(frames):
+            machines = []
+            for name, form in MODES:
+                by: dict[str, list] = {}
+                for item, q in part:
+                    if spelt := form(q):
+                        by.setdefault(spelt, []).append(item)
+                machine = ahocorasick.Automaton()
+                for q, owners in by.items():
+                    machine.add_word(q, owners)
+                if by:
+                    machine.make_automaton()
+                    machines.append((name, form, machine))
+            for pdf in frames:
+                out = []
+                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    seen: dict = {}
+                    for name, form, machine in machines:
+                        for _, owners in machine.iter(form(text)):
+                            for item in owners:
+                                seen.setdefault(item, name)
+                    out += [(doc, item, name) for item, name in seen.items()]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "mode"])
+
+        return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+    parts = [find(quotes[k : k + block]) for k in range(0, len(quotes), block)]
+    found = docs.sparkSession.createDataFrame([], schema)
+    for p in parts:
+        found = found.union(p)
+    return found
 
 
 def coverage(rows: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -61,3 +61,30 @@ d AS (SELECT doc_id, cast(sum(tp) AS BIGINT) AS tp, cast(sum(fp) AS BIGINT) AS f
 
 def verdicts_sql(ranges: bool = False, reference: str = "reference", candidate: str = "candidate") -> str:
     return lists_sql(ranges) + VERDICTS_SQL.format(r=reference, c=candidate)
+
+
+NUMBERS, NAMES, ARTICLES = ("193", "213", "492", "", "5520"), ("Gelir Vergisi Kanunu", "Vergi Usul Kanunu", "", "Harçlar Kanunu", "Kanun"), ("5", "12", "mükerrer 20", "", "94")
+TAIL = " 193 sayılı Kanunun 5 inci maddesi aynı Kanunun 12 nci maddesinde Kanunun94 üncü madde (2) fıkra"
+QUOTES = ("193 sayılı Kanunun 5 inci maddesi", "aynı Kanunun 12 nci maddesinde", "Kanunun94 üncü madde (2) fıkra", "vergi 7 nci bent 213")
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References with quotes, six a document: doc_id, pos, law_no, law_name, article, source_text and the document's text."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " ")).alias("t"))
+    rows = docs.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    i, p = F.col("doc_id"), F.col("pos")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    k = (i + p) % 6
+    quote = F.when(k == 0, "").when(k == 1, F.trim(F.substring("t", 3, 40))).otherwise(pick(QUOTES, k + 2))
+    whole = F.when(i % 2 == 0, F.concat("t", F.lit(TAIL))).otherwise(F.col("t"))
+    return rows.select("doc_id", p.cast("long").alias("pos"), pick(NUMBERS, i + p).alias("law_no"), pick(NAMES, 3 * i + p).alias("law_name"), pick(ARTICLES, i + 2 * p).alias("article"), quote.alias("source_text"), whole.alias("text"))
+
+
+def _pick_sql(words: tuple[str, ...], n: str) -> str:
+    return f"[{', '.join(repr(w) for w in words)}][({n}) % {len(words)} + 1]"
+
+
+CITED_SQL = f"""WITH t0 AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+cited AS (SELECT doc_id, cast(p AS BIGINT) AS pos, {_pick_sql(NUMBERS, "doc_id + p")} AS law_no, {_pick_sql(NAMES, "3 * doc_id + p")} AS law_name, {_pick_sql(ARTICLES, "doc_id + 2 * p")} AS article,
+  CASE (doc_id + p) % 6 WHEN 0 THEN '' WHEN 1 THEN trim(substring(t, 3, 40)) ELSE {_pick_sql(QUOTES, "(doc_id + p) % 6 + 2")} END AS source_text,
+  CASE WHEN doc_id % 2 = 0 THEN t || '{TAIL}' ELSE t END AS text FROM t0, (SELECT unnest(range(0, 6)) AS p))"""

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import fold_text, html_to_text, pseudonym
+from ..functions.normalize import fold_text, html_to_text, loose_text, pseudonym
 from ..operators import compare, metrics, records, rounds, sampling, text
 from .backbone import lists, lists_sql, table, verdicts_sql
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 RATERS = ("candidate", "model", "judge")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _by_doc(spark, d, reference="reference", candidate="candidate", ranges=False):
     return compare.by_document(compare.compare_lists(lists(spark, d, ranges), reference, candidate))
 
@@ -84,24 +71,27 @@ def compaction(spark, d):
     return compare.compact(compare.align(lists(spark, d).repartition("doc_id"))).groupBy("side").agg(F.count("*").alias("kept"), F.sum("pos").alias("positions"))
 
 
-@query(lists_sql(names=True) + ", n AS (SELECT doc_id, law_no, count(DISTINCT name_key) AS n FROM r WHERE law_no <> '' GROUP BY ALL) SELECT conflict, count(*) AS docs FROM (SELECT doc_id, coalesce(max(n) > 1, false) AS conflict FROM (SELECT DISTINCT doc_id FROM r) LEFT JOIN n USING (doc_id) GROUP BY 1) GROUP BY 1")
+@query(lists_sql(names=True) + ", n AS (SELECT doc_id, side, law_no, count(DISTINCT name_key) AS n FROM r WHERE law_no <> '' GROUP BY ALL) SELECT conflict, count(*) AS docs FROM (SELECT doc_id, coalesce(max(n) > 1, false) AS conflict FROM (SELECT DISTINCT doc_id FROM r) LEFT JOIN n USING (doc_id) GROUP BY 1) GROUP BY 1")
 def conflicting_laws(spark, d):
     return compare.conflicting_laws(lists(spark, d, names=True)).groupBy("conflict").agg(F.count("*").alias("docs"))
 
 
-ROUTE_SQL = """, o AS (SELECT o_orderkey AS doc_id, o_orderstatus <> 'P' AS ready, o_custkey % 17 <> 0 AS parsed FROM orders),
-x AS (SELECT d.*, ready, parsed FROM d JOIN o USING (doc_id))
+ROUTE_SQL = """, o AS (SELECT o_orderkey AS doc_id, o_orderstatus <> 'P' AS ready, o_custkey % 17 <> 0 AS parsed, o_custkey % 19 = 0 AS truncated, o_custkey % 23 <> 0 AS safe FROM orders),
+x AS (SELECT d.*, ready, parsed, truncated, safe FROM d JOIN o USING (doc_id))
 """
 
 
 def _routed(spark, d):
-    docs = _by_doc(spark, d)
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "P").alias("ready"), (F.col("o_custkey") % 17 != 0).alias("parsed"))
-    return compare.route(docs.join(o, "doc_id"), compare.conflicting_laws(lists(spark, d)), F.col("ready"), F.col("parsed"))
+    rows, c = lists(spark, d), F.col("o_custkey")
+    docs = compare.by_document(compare.compare_lists(rows))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "P").alias("ready"), (c % 17 != 0).alias("parsed"), (c % 19 == 0).alias("truncated"), (c % 23 != 0).alias("safe"))
+    conflicts = compare.conflicting_laws(rows.where("side IN ('reference', 'candidate')"))
+    return compare.route(docs.join(o, "doc_id"), conflicts, *map(F.col, ("ready", "parsed", "truncated", "safe")))
 
 
-@query(verdicts_sql() + ROUTE_SQL + """SELECT CASE WHEN NOT ready OR NOT parsed THEN 'QUARANTINE' WHEN fp > 0 OR fn > 0 THEN 'RED' ELSE 'GREEN' END AS bucket,
- concat_ws(',', CASE WHEN NOT ready THEN 'not_ready' END, CASE WHEN NOT parsed THEN 'no_prediction' END, CASE WHEN fn > 0 THEN 'missing' END, CASE WHEN fp > 0 THEN 'extra' END) AS reasons, count(*) AS docs FROM x GROUP BY 1, 2""")
+@query(verdicts_sql() + ROUTE_SQL + """SELECT CASE WHEN NOT ready OR NOT parsed OR truncated OR NOT safe THEN 'QUARANTINE' WHEN fp > 0 OR fn > 0 THEN 'RED' ELSE 'GREEN' END AS bucket,
+ CASE WHEN NOT ready OR NOT parsed OR truncated OR NOT safe THEN concat_ws(',', CASE WHEN NOT ready THEN 'preparation_hard_error' END, CASE WHEN NOT parsed THEN 'model_processing_error' END, CASE WHEN truncated THEN 'model_output_truncated' END, CASE WHEN NOT safe THEN 'safe_text_missing' END)
+  WHEN fp > 0 OR fn > 0 THEN concat_ws(',', CASE WHEN fn > 0 THEN 'missing_core_reference' END, CASE WHEN fp > 0 THEN 'extra_or_different_core_reference' END) ELSE 'normalized_law_article_set_equal' END AS reasons, count(*) AS docs FROM x GROUP BY 1, 2""")
 def route_documents(spark, d):
     return _routed(spark, d).groupBy("bucket", "reasons").agg(F.count("*").alias("docs"))
 
@@ -179,9 +169,12 @@ def complementarity(spark, d):
     return metrics.complementarity(_bits(spark, d), "candidate", "model", "judge")
 
 
-@query(BITS_SQL + "SELECT CASE WHEN db < da THEN 'model' ELSE 'candidate' END AS closest, least(da, db) AS distance, count(*) AS docs FROM (SELECT doc_id, cast(sum(cast(candidate <> truth AS INT)) AS BIGINT) AS da, cast(sum(cast(model <> truth AS INT)) AS BIGINT) AS db FROM k GROUP BY 1) GROUP BY 1, 2")
+@query(BITS_SQL + """, h AS (SELECT doc_id, bool_or(side = 'candidate') AS ha, bool_or(side = 'model') AS hb FROM r GROUP BY 1),
+e AS (SELECT doc_id, ha, hb, CASE WHEN ha THEN cast(sum(cast(candidate <> truth AS INT)) AS BIGINT) END AS da, CASE WHEN hb THEN cast(sum(cast(model <> truth AS INT)) AS BIGINT) END AS db FROM k JOIN h USING (doc_id) GROUP BY 1, 2, 3)
+SELECT CASE WHEN da IS NULL AND db IS NULL THEN NULL WHEN da IS NULL OR db < da THEN 'model' ELSE 'candidate' END AS closest, least(da, db) AS distance, count(*) AS docs FROM e GROUP BY 1, 2""")
 def edit_distances(spark, d):
-    return metrics.edit_distance(_bits(spark, d), "candidate", "model").groupBy("closest", "distance").agg(F.count("*").alias("docs"))
+    has = lists(spark, d).groupBy("doc_id").agg(F.bool_or(F.col("side") == "candidate").alias("has_a"), F.bool_or(F.col("side") == "model").alias("has_b"))
+    return metrics.edit_distance(_bits(spark, d), "candidate", "model", has).groupBy("closest", "distance").agg(F.count("*").alias("docs"))
 
 
 @query(BITS_SQL + "SELECT joint_miss, n FROM (SELECT candidate + model + judge = 0 AS joint_miss, count(*) AS n FROM k WHERE truth = 1 GROUP BY 1)")
@@ -189,9 +182,14 @@ def joint_miss(spark, d):
     return _bits(spark, d).where("truth = 1").groupBy((F.col("candidate") + F.col("model") + F.col("judge") == 0).alias("joint_miss")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(value) AS measured, count(*) - count(value) AS unmeasured, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(sum(value), 4) AS total, round(quantile_disc(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.9), 4) AS p90, round(quantile_disc(value, 0.95), 4) AS p95, round(quantile_disc(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
+ODD_SQL = "(SELECT event_type, CASE user_id % 50 WHEN 7 THEN NULL WHEN 8 THEN 'nan'::DOUBLE WHEN 9 THEN 'infinity'::DOUBLE ELSE value END AS value FROM events)"
+
+
+@query("SELECT event_type, count(v) AS measured, count(value) - count(v) AS unusable, round(avg(v), 4) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most, round(sum(v), 4) AS total, round(quantile_disc(v, 0.5), 4) AS p50, round(quantile_disc(v, 0.9), 4) AS p90, round(quantile_disc(v, 0.95), 4) AS p95, round(quantile_disc(v, 0.99), 4) AS p99 FROM (SELECT event_type, value, CASE WHEN isfinite(value) THEN value END AS v FROM " + ODD_SQL + ") GROUP BY 1")
 def operational_summary(spark, d):
-    return metrics.distribution(table(spark, d, "events"), "value", ("event_type",))
+    u = F.col("user_id") % 50
+    value = F.when(u == 7, None).when(u == 8, float("nan")).when(u == 9, float("inf")).otherwise(F.col("value"))
+    return metrics.distribution(table(spark, d, "events").select("event_type", value.alias("value")), "value", ("event_type",))
 
 
 @query("SELECT t.event_type, coalesce(n, 0) AS n FROM (VALUES ('click'), ('purchase'), ('never')) t(event_type) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)")
@@ -280,41 +278,31 @@ def dealt_batches(spark, d):
     return sampling.deal_batches(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), 6, 25, ("o_orderpriority", "o_orderstatus"), "deal", "o_orderkey")
 
 
-@query("SELECT doc_id, item_id, CASE WHEN contains(text, trim(q)) THEN 'exact' ELSE 'other' END AS mode FROM documents JOIN (SELECT item_id, substr(text, 1, 60) AS q FROM benchmark) ON contains(text, trim(q))")
-def evidence_hits(spark, d):
-    """Quotes are few and bounded in length, so they are one array literal that each document is scanned for in place; no pair of a
-    document and a quote that does not occur is ever made."""
-    quotes = [(r[0], r[1]) for r in table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).collect()]
-    array = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(q).alias("q")) for i, q in quotes])
-    docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.filter(array, lambda x: F.contains(F.col("text"), F.trim(x["q"])))).alias("x"))
-    return docs.select("doc_id", "x.item_id", text.evidence_mode(F.col("x.q"), F.col("text")).alias("mode"))
+FOLD_SQL = "translate(replace(lower(trim(regexp_replace({t}, '\\s+', ' ', 'g'))), 'ß', 'ss'), '“”’‘–—', '\"\"''''--')"
+LOOSE_SQL = "trim(regexp_replace(" + FOLD_SQL + ", '[^0-9a-zçğıöşü]+', ' ', 'g'))"
 
 
-@query()
-def evidence_modes(spark, d):
-    """Whole quotes, exact, folded and loose; the first mode that holds. The quotes are sent to every task while they are few."""
+@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, {FOLD_SQL.format(t="text")} AS f, {LOOSE_SQL.format(t="text")} AS l FROM documents WHERE text IS NOT NULL),
+q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, {FOLD_SQL.format(t="text")} AS f, {LOOSE_SQL.format(t="text")} AS l FROM benchmark)
+SELECT doc_id, item_id, CASE WHEN contains(d.t, q.t) THEN 'exact' WHEN contains(d.f, q.f) THEN 'folded' ELSE 'loose' END AS mode FROM d JOIN q ON q.t <> '' AND (contains(d.t, q.t) OR contains(d.f, q.f) OR (q.l <> '' AND contains(d.l, q.l)))""")
+def evidence_hits(spark, d):
+    """Whole quotes in whole texts, by the first mode that holds."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     return text.evidence_pairs(docs, items)
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<head\\b[^>]*>.*?</head\\s*>|<title\\b[^>]*>.*?</title\\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|nav|header|footer)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
+BLOCKS_SQL = "p|div|br|tr|td|th|li|ul|ol|h[1-6]|table|thead|tbody|tfoot|section|article|blockquote|pre|hr|caption|dl|dt|dd|figure|figcaption|header|footer|nav|main|aside|form|fieldset"
+ENTITIES_SQL = "replace(replace(replace(replace(replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query("SELECT page_id, trim(regexp_replace(" + ENTITIES_SQL.format(t="regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<title\\b.*?</title\\s*>', ' ', 'g'), '(?i)</?(" + BLOCKS_SQL + ")\\b[^>]*>', ' ', 'g'), '(?s)<[^>]+>', '', 'g')") + ", '\\s+', ' ', 'g')) AS body FROM pages")
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("body"))
 
 
-@query("SELECT doc_id, sha256(lower(translate(text, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU'))) AS folded, sha256(regexp_replace(lower(text), '[^0-9a-zçğıöşü]+', '', 'g')) AS loose FROM documents WHERE lang IN ('en', 'de')")
+@query(f"SELECT doc_id, sha256({FOLD_SQL.format(t='text')}) AS folded, sha256({LOOSE_SQL.format(t='text')}) AS loose FROM documents")
 def folded_texts(spark, d):
-    return _folded_texts(table(spark, d, "documents").where("lang IN ('en', 'de')"))
-
-
-@query()
-def folded_texts_all(spark, d):
-    """The whole table."""
-    return _folded_texts(table(spark, d, "documents"))
-
-
-def _folded_texts(docs):
-    return docs.select("doc_id", F.sha2(fold_text(F.col("text")), 256).alias("folded"), F.sha2(text.loose_text(F.col("text")), 256).alias("loose"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(fold_text("text"), 256).alias("folded"), F.sha2(loose_text("text"), 256).alias("loose"))
 
 
 @query("WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS mention, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) - 1 AS ordinal FROM documents) SELECT doc_id, cast(ordinal AS INT) AS ordinal, mention FROM m")
@@ -351,14 +339,8 @@ def review_states(spark, d):
     return records.fold_events(table(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type", "value")
 
 
-@query("SELECT o_orderkey, CASE WHEN in_left > 1 THEN 'duplicate' WHEN c.c_custkey IS NULL THEN 'not_in_pool' WHEN c_nationkey % 7 = 0 THEN 'unusable' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS in_left FROM orders WHERE o_orderkey % 9 = 0) o LEFT JOIN customer c ON c_custkey = o_custkey")
+@query("SELECT o_orderkey, CASE WHEN in_left > 1 THEN 'duplicate' WHEN c.c_custkey IS NULL THEN 'not_in_pool' WHEN c_nationkey % 7 = 0 THEN 'unusable' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS in_left FROM orders) o LEFT JOIN customer c ON c_custkey = o_custkey")
 def pool_join(spark, d):
-    return _pool_join(table(spark, d, "orders").where("o_orderkey % 9 = 0"), table(spark, d, "customer"))
-
-
-@query()
-def pool_join_all(spark, d):
-    """The whole table."""
     return _pool_join(table(spark, d, "orders"), table(spark, d, "customer"))
 
 
@@ -406,20 +388,26 @@ def judge_verdicts(spark, d):
     return records.unblind(rows).groupBy("winner").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, priority, row_number() OVER (ORDER BY deferred, priority, doc_id) AS position FROM (SELECT o_orderkey AS doc_id, o_custkey % 50 = 0 AS deferred, CASE WHEN o_custkey % 40 = 1 THEN 0 WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN 2 WHEN o_custkey % 10 = 2 THEN 3 ELSE 4 END AS priority FROM orders WHERE o_orderkey % 50 = 0)")
+@query("""WITH r AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'RED' WHEN 'P' THEN 'YELLOW' ELSE 'GREEN' END AS bucket, o_custkey % 40 = 1 AS pilot, o_custkey % 10 = 2 AS audit, o_custkey % 50 = 0 AS deferred, o_custkey % 3 = 0 AS done FROM orders),
+p AS (SELECT *, CASE WHEN pilot THEN 0 WHEN bucket = 'RED' THEN 1 WHEN bucket = 'YELLOW' THEN 2 WHEN audit THEN 3 END AS priority FROM r)
+SELECT doc_id, priority, row_number() OVER (ORDER BY priority, deferred, doc_id) AS position FROM p WHERE priority IS NOT NULL AND NOT done""")
 def review_queue(spark, d):
-    return _review_queue(table(spark, d, "orders").where("o_orderkey % 50 = 0"))
+    """Required documents that are not finalized; the batch is not escalated."""
+    return records.review_queue(_reviews(spark, d), escalated=False).select("doc_id", "priority", "position")
 
 
-@query()
-def review_queue_all(spark, d):
-    """The whole table."""
-    return _review_queue(table(spark, d, "orders"))
+@query("""WITH r AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'RED' WHEN 'P' THEN 'YELLOW' ELSE 'GREEN' END AS bucket, o_custkey % 40 = 1 AS pilot, o_custkey % 10 = 2 AS audit FROM orders)
+SELECT bucket, count(*) AS docs, count_if(audit OR pilot OR bucket <> 'GREEN') AS required, count(*) AS required_if_escalated FROM r GROUP BY 1""")
+def required_reviews(spark, d):
+    rows = _reviews(spark, d)
+    n = lambda e: F.count_if(records.review_priority(e).isNotNull())
+    return rows.groupBy("bucket").agg(F.count("*").alias("docs"), n(False).alias("required"), n(True).alias("required_if_escalated"))
 
 
-def _review_queue(o):
-    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "RED").when(F.col("o_orderstatus") == "P", "YELLOW").otherwise("GREEN").alias("bucket"), (F.col("o_custkey") % 40 == 1).alias("pilot"), (F.col("o_custkey") % 10 == 2).alias("audit"), (F.col("o_custkey") % 50 == 0).alias("deferred"))
-    return records.review_queue(rows).select("doc_id", "priority", F.row_number().over(Window.orderBy("turn")).alias("position"))
+def _reviews(spark, d):
+    c = F.col("o_custkey")
+    bucket = F.when(F.col("o_orderstatus") == "F", "RED").when(F.col("o_orderstatus") == "P", "YELLOW").otherwise("GREEN")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), bucket.alias("bucket"), (c % 40 == 1).alias("pilot"), (c % 10 == 2).alias("audit"), F.when(c % 3 == 0, "finalized").when(c % 50 == 0, "deferred").otherwise("pending").alias("status"))
 
 
 @query()
@@ -492,10 +480,4 @@ def replay_packs(spark, d):
     return rounds.replay_packs(w.select("doc_id", "ordinal", (F.col("end") - F.col("start")).alias("n")), 2048)
 
 
-@query()
-def extra_triage(spark, d):
-    """Extra references quoted from benchmark passages or from their own document, by kind."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 5, 30)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("193 "), F.substring("text", 1, 10))).otherwise("not in any text 193")
-    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("193 "), F.col("text"))).otherwise(F.col("text")).alias("text"), quote.alias("source_text"), F.when(F.col("doc_id") % 2 == 0, "193").otherwise("").alias("law_no"))
-    return rounds.triage(rows).groupBy("kind").agg(F.count("*").alias("n"))
+from . import assembly, audits, evaluation, preparation  # noqa: E402, F401  their queries register on import

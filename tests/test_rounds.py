@@ -1,6 +1,6 @@
 """Reports of a round on small cases."""
 
-from concordia.operators import rounds
+from concordia.operators import audit, rounds
 
 
 def test_law_mentions():
@@ -28,5 +28,11 @@ def test_replay_packs(spark):
 
 
 def test_triage(spark):
-    rows = spark.createDataFrame([("a law 193 here", "law 193", "193"), ("a law 193 here", "law 193", "213"), ("a", "b", "1"), ("LAW 19 here", "law 19", "")], "text string, source_text string, law_no string")
-    assert [r.kind for r in rounds.triage(rows).collect()] == ["addition", "inconsistent", "ungrounded", "addition"]
+    rows = spark.createDataFrame([("a law 193 in 5 here", "law 193 in 5", "193", "5"), ("a law 193 here", "law 193", "213", ""), ("a", "b", "1", ""), ("bu Kanunun 5 inci", "bu Kanunun 5 inci", "213", "mükerrer 5"), ("law 193", "law 193", "193", "5"), ("Kanunun267 inci", "Kanunun267 inci", "", "267")], "text string, source_text string, law_no string, article string")
+    assert [r.kind for r in audit.triage(rows).collect()] == ["candidate_addition", "label_inconsistent_with_span", "ungrounded", "candidate_addition", "label_inconsistent_with_span", "label_inconsistent_with_span"]
+
+
+def test_article_findings(spark):
+    cases = [("5", "193 sayılı Kanunun 5 inci maddesi", None), ("5", "aynı madde", "anaphoric"), ("267", "Kanununun267 inci maddesi", "glued_to_preceding_word"), ("5", "madde 6 ve 7", "other_article_number"), ("5", "(2) numaralı bent", "sub_part_number"), ("mükerrer 5", "x", None)]
+    rows = spark.createDataFrame([(a, q) for a, q, _ in cases], "article string, span string")
+    assert [r[0] for r in rows.select(audit.article_finding(rows.article, rows.span)).collect()] == [w for _, _, w in cases]
