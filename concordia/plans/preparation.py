@@ -1 +1,151 @@
-"""Queries of preparation."""
+"""Queries of ``operators.preparation``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import preparation as prep
+from .backbone import table
+from .queries import BLOCKS_SQL, ENTITIES_SQL
+from .registry import query
+
+
+def _raw_lists(spark, d):
+    """doc_id and ``raw``, an array of references with nulls, or null: one of each order."""
+    li = table(spark, d, "lineitem")
+    k = F.col("l_linenumber")
+    row = F.struct(
+        F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit(" "), F.col("l_partkey") % 5)).alias("kanun_no"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).when(F.col("l_suppkey") % 3 == 1, F.lit("Ad ")).alias("kanun_ad"),
+        F.when(F.col("l_partkey") % 7 != 0, (F.col("l_suppkey") % 4).cast("string")).alias("madde"),
+        F.when(k % 2 == 0, F.lit("q")).otherwise("").alias("source_text"),
+    )
+    lists = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))), lambda x: x["r"]).alias("raw"))
+    return lists.withColumn("raw", F.when(F.col("doc_id") % 11 != 0, F.col("raw")))
+
+
+RAW_SQL = """WITH i AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_orderkey % 11 <> 0 AS there,
+ CASE WHEN l_partkey % 5 <> 0 THEN cast(l_partkey % 5 AS VARCHAR) END AS kanun_no, CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Ad' END AS kanun_ad, CASE WHEN l_partkey % 7 <> 0 THEN cast(l_suppkey % 4 AS VARCHAR) END AS madde, CASE WHEN l_linenumber % 2 = 0 THEN 'q' ELSE '' END AS source_text FROM lineitem)"""
+WARNED_SQL = RAW_SQL + """, w AS (SELECT doc_id, i, 'reference_null_field' AS code, f AS field FROM i, (VALUES ('kanun_no'), ('kanun_ad'), ('madde')) t(f) WHERE there AND CASE f WHEN 'kanun_no' THEN kanun_no WHEN 'kanun_ad' THEN kanun_ad ELSE madde END IS NULL
+ UNION ALL SELECT DISTINCT doc_id, NULL, 'current_references_missing_or_null', NULL FROM i WHERE NOT there)"""
+
+
+@query(RAW_SQL + " SELECT coalesce(kanun_no, '') AS kanun_no, coalesce(kanun_ad, '') AS kanun_ad, coalesce(madde, '') AS madde, source_text, count(*) AS n FROM i WHERE there GROUP BY 1, 2, 3, 4")
+def normalized_lists(spark, d):
+    rows = _raw_lists(spark, d).select(F.explode(prep.normalized_list(F.col("raw"))).alias("r")).select("r.*")
+    return rows.groupBy(*prep.FIELDS).agg(F.count("*").alias("n"))
+
+
+@query(WARNED_SQL + " SELECT code, field, count(*) AS n, cast(sum(i) AS BIGINT) AS places FROM w GROUP BY 1, 2")
+def list_warnings(spark, d):
+    rows = _raw_lists(spark, d).select(F.explode(prep.list_warnings(F.col("raw"))).alias("w")).select("w.*")
+    return rows.groupBy("code", "field").agg(F.count("*").alias("n"), F.sum("reference_index").alias("places"))
+
+
+@query(WARNED_SQL + ", c AS (SELECT DISTINCT doc_id FROM i), s AS (SELECT c.doc_id, coalesce(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), []) AS codes FROM c LEFT JOIN w USING (doc_id) GROUP BY 1) SELECT array_to_string(codes, ',') AS codes, count(*) AS docs FROM s GROUP BY 1")
+def warning_code_sets(spark, d):
+    rows = _raw_lists(spark, d).select(F.array_join(prep.warning_codes(prep.list_warnings(F.col("raw"))), ",").alias("codes"))
+    return rows.groupBy("codes").agg(F.count("*").alias("docs"))
+
+
+@query(WARNED_SQL + " SELECT doc_id, CASE WHEN field = 'madde' THEN 'attention' ELSE 'info' END AS level, field, array_to_string(list(i + 1 ORDER BY i), ',') AS rows FROM w WHERE field IS NOT NULL GROUP BY doc_id, field")
+def explained_warnings(spark, d):
+    rows = _raw_lists(spark, d).select("doc_id", F.explode(prep.explained(prep.list_warnings(F.col("raw")))).alias("n"))
+    return rows.select("doc_id", "n.level", "n.field", F.array_join("n.rows", ",").alias("rows"))
+
+
+@query(RAW_SQL + " SELECT doc_id, count(*) AS n, count(DISTINCT (coalesce(kanun_no, ''), coalesce(kanun_ad, ''), coalesce(madde, ''))) AS distinct_fields, count_if(NOT (coalesce(kanun_no, '') = '1' AND coalesce(madde, '') = '2') AND concat(kanun_no, kanun_ad, madde, source_text) <> '') AS final FROM i WHERE there GROUP BY 1")
+def final_references(spark, d):
+    """Blinded fields without repeats, and what stays of a submitted list."""
+    raw = _raw_lists(spark, d).where("raw IS NOT NULL").withColumn("refs", prep.normalized_list(F.col("raw")))
+    n = lambda c: F.size(c).cast("long")
+    return raw.select("doc_id", n("refs").alias("n"), n(prep.distinct_fields(F.col("refs"))).alias("distinct_fields"), n(prep.final_references(F.col("raw"), (("1", "2"),))).alias("final"))
+
+
+@query("SELECT doc_id, length(substr(text, 1, 4000)) AS kept, length(text) > 4000 OR n_chars > 10000 AS clipped FROM documents WHERE text IS NOT NULL")
+def clipped_references(spark, d):
+    """Quotes of up to 4,000 characters; here each text is the quote, and numbers of over 64 digits stand for long texts."""
+    number = F.when(F.col("n_chars") > 10_000, F.repeat(F.lit("1"), F.lit(65))).otherwise("1")
+    refs = F.array(F.struct(number.alias("kanun_no"), F.lit("").alias("kanun_ad"), F.lit("").alias("madde"), F.col("text").alias("source_text")))
+    cut, flag = prep.clipped(refs)
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(cut[0]["source_text"]).alias("kept"), flag.alias("clipped"))
+
+
+BODY_SQL = "trim(regexp_replace(" + ENTITIES_SQL.format(t="regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<title\\b.*?</title\\s*>', ' ', 'g'), '(?i)</?(" + BLOCKS_SQL + ")\\b[^>]*>', ' ', 'g'), '(?s)<[^>]+>', '', 'g')") + ", '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 <> 0 AND {BODY_SQL} <> '' THEN 'htmlText' WHEN page_id % 5 <> 0 THEN 'pdfText' ELSE 'missing' END AS channel, sha256(CASE WHEN page_id % 3 <> 0 AND {BODY_SQL} <> '' THEN {BODY_SQL} WHEN page_id % 5 <> 0 THEN 'pdf of ' || url ELSE '' END) AS digest FROM pages")
+def channel_selection(spark, d):
+    p = table(spark, d, "pages")
+    picked = p.select("page_id", prep.channel(F.when(F.col("page_id") % 3 != 0, F.col("html")), F.when(F.col("page_id") % 5 != 0, F.concat(F.lit(" pdf  of "), "url"))).alias("c"))
+    return picked.select("page_id", "c.channel", F.sha2(F.col("c.text"), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN lang END, ''), nullif(source, ''))) AS digest FROM documents")
+def text_digests(spark, d):
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", prep.text_digest(F.when(i % 2 == 0, F.col("text")), F.when(i % 3 == 0, F.col("lang")), F.col("source")).alias("digest"))
+
+
+@query("""WITH one AS (SELECT o_custkey AS key, count(*) AS records, bool_or(o_orderkey % 4 <> 0) AS named FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT CASE WHEN records = 1 AND named THEN 'attributed' ELSE 'failed' END AS how, count(*) AS documents, cast(sum(coalesce(records, 0)) AS BIGINT) AS records FROM customer LEFT JOIN one ON key = c_custkey GROUP BY 1""")
+def attribution_join(spark, d):
+    who = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).otherwise(" ")
+    o = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"), prep.attribution(who, F.lit(" "), F.lit(-1)).alias("who"))
+    good, failed = prep.attributed(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), o, "key", "who")
+    return good.agg(F.lit("attributed").alias("how"), F.count("*").alias("documents"), F.count("*").alias("records")).union(failed.agg(F.lit("failed"), F.count("*"), F.sum("records"))).where("documents > 0")
+
+
+@query("SELECT count(*) AS kept, count(DISTINCT o_custkey) AS customers, (SELECT count(*) FROM customer WHERE c_custkey % 4 = 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders)) AS missing FROM orders WHERE o_custkey % 4 = 1 AND o_custkey IN (SELECT c_custkey FROM customer)")
+def subset_restriction(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    subset = table(spark, d, "customer").where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("key"))
+    rows, missing = prep.restricted(o, subset, "key")
+    lost = missing.agg(F.count("*").alias("missing"))
+    return rows.agg(F.count("*").alias("kept"), F.count_distinct("key").alias("customers")).join(F.broadcast(lost), F.lit(True))
+
+
+@query("SELECT c_custkey, 'd' || lpad(cast(row_number() OVER (ORDER BY CASE WHEN c_custkey % 10 = 0 THEN '__missing__:e' || (c_custkey % 7) || ':' || c_custkey ELSE c_name END) AS VARCHAR), 6, '0') AS internal_id FROM customer")
+def internal_ids(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_name")).alias("key"), F.concat(F.lit("e"), F.col("c_custkey") % 7).alias("entry_name"), F.col("c_custkey").alias("record_index"))
+    return prep.internal_ids(c, "key").select("c_custkey", "internal_id")
+
+
+@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing:internal_id' WHEN text IS NULL THEN 'missing:text' ELSE 'text_hash' END AS problem, count(*) AS n FROM documents WHERE doc_id % 5 = 0 OR text IS NULL OR doc_id % 7 = 0 GROUP BY 1")
+def broken_files(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.when(i % 5 != 0, i).alias("internal_id"), "text", F.when(i % 7 == 0, F.lit("0")).otherwise(F.sha2("text", 256)).alias("text_sha256"))
+    return prep.broken_files(rows).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(v) AS finite, count(*) AS n, round(sum(v), 4) AS total, count_if(old) AS stale FROM (SELECT event_type, CASE WHEN user_id % 50 IN (8, 9) THEN NULL ELSE value END AS v, user_id % 6 = 0 OR date_diff('second', ts, (SELECT max(ts) FROM events)) > 86400 AS old FROM events) GROUP BY 1")
+def safe_measures(spark, d):
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    u = F.col("user_id") % 50
+    rows = e.join(F.broadcast(now), F.lit(True)).select(F.col("event_type").alias("doc_id"), F.when(u == 8, float("nan")).when(u == 9, float("inf")).otherwise(F.col("value")).alias("total_seconds"), F.lit("x").alias("secret"), prep.stale(F.when(F.col("user_id") % 6 != 0, F.col("ts")), F.col("now"), 86400).cast("int").alias("peak_memory_gb"))
+    safe = prep.safe_operational(rows)
+    return safe.groupBy(F.col("doc_id").alias("event_type")).agg(F.count("total_seconds").alias("finite"), F.count("*").alias("n"), F.round(F.sum("total_seconds"), 4).alias("total"), F.count_if(F.col("peak_memory_gb") == 1).alias("stale"))
+
+
+@query("""WITH j AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, ['a', 'B', 'tie', 'Neither', 'x'][doc_id % 5 + 1] AS v FROM documents WHERE text IS NOT NULL)
+SELECT upper(v) AS verdict, CASE WHEN v = 'x' THEN 'verdict' WHEN doc_id % 7 = 0 THEN 'candidate_errors' WHEN doc_id % 11 = 0 THEN 'lists' END AS problem, count(*) AS n, cast(sum(CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN trim(substr(t, 2, 30)) <> '' THEN 1 ELSE 0 END END) AS BIGINT) AS verified, cast(sum(CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END END) AS BIGINT) AS unverified FROM j GROUP BY 1, 2""")
+def judge_results(spark, d):
+    i = F.col("doc_id")
+    t = F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))
+    evidence = F.when(i % 11 != 0, F.array(F.substring(t, 2, 30), F.lit("  "), F.when(i % 2 == 0, F.lit("no such quote 7f3a")).otherwise("")))
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.alias("text"), F.element_at(F.array(*map(F.lit, ("a", "B", "tie", "Neither", "x"))), (i % 5 + 1).cast("int")).alias("verdict"), F.when(i % 7 != 0, none).alias("errors_a"), none.alias("errors_b"), evidence.alias("evidence"), none.alias("reasons"))
+    n = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.size(c))).alias(c)
+    return prep.judge_results(rows).groupBy("verdict", "problem").agg(F.count("*").alias("n"), n("verified"), n("unverified"))
+
+
+@query("SELECT CASE o_orderkey % 6 WHEN 4 THEN 'broken' WHEN 5 THEN 'broken' ELSE 'read' END AS state, count(*) AS n, cast(sum(CASE WHEN o_orderkey % 6 < 4 THEN 2 END) AS BIGINT) AS refs, max(CASE WHEN o_orderkey % 6 < 4 THEN cast(o_custkey AS VARCHAR) END) AS number FROM orders GROUP BY 1")
+def model_outputs(spark, d):
+    """Outputs in four readable forms and two broken ones."""
+    k = F.col("o_orderkey") % 6
+    array = F.concat(F.lit('[{"kanun_no": " '), F.col("o_custkey"), F.lit(' ", "madde": null}, {"kanun_no": 5}]'))
+    raw = F.when(k == 0, array).when(k == 1, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"references": '), array, F.lit("}"))).when(k == 3, F.concat(F.lit("Here: "), array, F.lit(" done"))).when(k == 4, F.lit("nothing")).otherwise('["text"]')
+    rows = table(spark, d, "orders").select(prep.model_lists(raw).alias("refs"))
+    state = F.when(F.col("refs").isNull(), "broken").otherwise("read")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("refs").isNotNull(), F.size("refs"))).alias("refs"), F.max(F.col("refs")[0]["kanun_no"]).alias("number"))
