@@ -189,3 +189,27 @@ def interval(deltas_: DataFrame) -> DataFrame:
     """Mean, 2.5 and 97.5 % (linear), and the verdict."""
     out = deltas_.agg(F.avg("delta").alias("mean"), F.expr("percentile(delta, 0.025)").alias("low"), F.expr("percentile(delta, 0.975)").alias("high"))
     return out.withColumn("verdict", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("inconclusive"))
+
+
+def bootstrap_scores(by_doc: DataFrame, draws: int = 10_000, seed: int = 42, block: int = 100) -> DataFrame:
+    """(draw, f1) of resamples of documents with replacement; as ``bootstrap_resamples``, of one method."""
+    rows = by_doc.select(*[F.col(c).alias(f"{m}_{c}") for m in "ab" for c in ("tp", "fp", "fn")])
+    both = bootstrap_resamples(rows.withColumns({f"a_{c}": F.lit(0) for c in ("tp", "fp", "fn")}), draws, seed, block)
+    return both.select("draw", F.col("delta").alias("f1"))
+
+
+def interval_of(scores: DataFrame, value: str = "f1") -> DataFrame:
+    """Mean and the linear 2.5 and 97.5 % quantiles."""
+    return scores.agg(F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.025)").alias("low"), F.expr(f"percentile({value}, 0.975)").alias("high"))
+
+
+def unpaired_delta(before: DataFrame, after: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Change of F1 from one batch to another of different documents: the point, the interval over draws that resample each batch on its own, the
+    share of draws above 0 and the verdict."""
+    a, b = bootstrap_scores(before, draws, seed), bootstrap_scores(after, draws, seed + 1).withColumnRenamed("f1", "now")
+    deltas_ = a.join(b, "draw").select((F.col("now") - F.col("f1")).alias("delta"))
+    point = [df.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(f1(F.col("tp"), F.col("fp"), F.col("fn")).alias(n)) for df, n in ((before, "was"), (after, "is"))]
+    out = deltas_.agg(F.expr("percentile(delta, 0.025)").alias("low"), F.expr("percentile(delta, 0.975)").alias("high"), (F.count_if(F.col("delta") > 0) / float(draws)).alias("above_zero"))
+    out = out.join(F.broadcast(point[0]), F.lit(True)).join(F.broadcast(point[1]), F.lit(True))  # one row each
+    verdict = F.when(F.col("low") > 0, "improved").when(F.col("high") < 0, "regressed").otherwise("inconclusive")
+    return out.select((F.col("is") - F.col("was")).alias("delta"), "low", "high", "above_zero", verdict.alias("verdict"))
