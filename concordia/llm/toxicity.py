@@ -124,8 +124,8 @@ class SubwordModel:
                 if len(shares) > KNOWN:
                     shares.clear()
                 if fresh := list(set(tokens).difference(shares)):
-                    for k in range(0, len(fresh), KNOWN):
-                        part = fresh[k : k + KNOWN]
+                    for k in range(0, len(fresh), PIECE):
+                        part = fresh[k : k + PIECE]
                         g, n = grams(part, mask)
                         shares.update(zip(part, (np.bincount(np.repeat(np.arange(len(n)), n), table[g], len(n)) / np.maximum(n, 1)).tolist(), strict=True))
                 out[first:at] = _tops(np.fromiter(map(shares.__getitem__, tokens), np.float64, len(tokens)), np.array(sizes))
@@ -134,7 +134,7 @@ class SubwordModel:
         return margins
 
 
-KNOWN, CHARS = 300_000, 1 << 20
+KNOWN, CHARS, PIECE = 300_000, 1 << 20, 10_000
 
 
 def _tops(shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -196,7 +196,10 @@ def train(texts: list[str], labels: list[int], weights: list[float], *, bits: in
     for text in texts:
         found = tokens_of(text) or [""]
         tokens.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found)))
-    flat, sizes = grams(list(vocabulary), mask)
+    every = list(vocabulary)
+    found = [grams(every[k : k + PIECE], mask) for k in range(0, len(every), PIECE)]
+    flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+    del every, found
     starts = np.cumsum(sizes) - sizes
     del vocabulary
     rng = np.random.default_rng(seed)
