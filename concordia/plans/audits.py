@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, text
+from ..operators import audit, citations, text
 from .backbone import CITED_SQL, cited
 from .registry import query
 
@@ -47,3 +47,25 @@ def evidence_coverage(spark, d):
     """Coverage of quotes that are exact or empty, by document."""
     rows = cited(spark, d).where((F.col("source_text") == "") | audit.grounded(F.col("source_text"), F.col("text")))
     return text.coverage(rows).where("quotes > 0")
+
+
+@query()
+def located_references(spark, d):
+    """Where each text cites its references: the best span, and how many there are."""
+    rows = citations.locate(cited(spark, d))
+    return rows.select("doc_id", "pos", F.size("spans").alias("places"), F.get("spans", F.lit(0))["start"].alias("start"), F.get("spans", F.lit(0))["end"].alias("end"))
+
+
+@query()
+def attached_spans(spark, d):
+    """Quotes for references without one, and those that no place was found for."""
+    placed, refused = citations.attached(cited(spark, d))
+    return placed.select("doc_id", "pos", F.size("quotes").alias("quotes")).unionByName(refused.select("doc_id", "pos", F.lit(0).alias("quotes")))
+
+
+@query(CITED_SQL + ", t AS (SELECT DISTINCT doc_id, text FROM cited WHERE doc_id % 2 = 0) SELECT doc_id, count(*) AS docs, cast(1 AS BIGINT) AS laws FROM t GROUP BY 1")
+def named_laws(spark, d):
+    """The one numbered law that the even documents' last sentence names."""
+    docs = cited(spark, d).where("doc_id % 2 = 0").select("doc_id", "text").distinct()
+    found = citations.laws_table(docs).where("numbered").groupBy("doc_id").agg(F.count("*").alias("laws"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("docs")).join(found, "doc_id")
