@@ -31,7 +31,7 @@ from .common import lasting, need, small
 
 WEIGHTS = (5, 2, 1)
 RANGES, RANGE_ROWS = 1024, 2048
-TILT = 0.25
+TILT = 0.1
 GAP_DOCS, GAP_AMONG = 2, 64
 
 

@@ -259,8 +259,8 @@ def test_mixing_is_brute_force_and_keeps_its_probabilities(spark):
         for size in {u[2] for u in own}:
             alike = [u for u in own if u[2] == size]
             mean = sum(run[u] for run in runs for u in alike) / len(runs) / len(alike)
-            load = sum(2 ** (0.25 * (u[2].bit_length() - 1)) * u[2] for u in own)
-            law = target / load * 2 ** (0.25 * (size.bit_length() - 1))
+            load = sum(2 ** (mixing.TILT * (u[2].bit_length() - 1)) * u[2] for u in own)
+            law = target / load * 2 ** (mixing.TILT * (size.bit_length() - 1))
             if target < 2 * words:  # no band at the cap
                 assert abs(mean - law) < 0.06 + mixing.GAP_DOCS / len(alike), (source, size, mean, law)
 
