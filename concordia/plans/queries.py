@@ -328,7 +328,11 @@ def token_windows(spark, d):
     return text.token_windows(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("int").alias("n")), "n", 512, 128)
 
 
-@query()
+WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), r AS (SELECT doc_id, w, list_reverse(w) AS v FROM w)
+SELECT doc_id, len(w) >= 12 AND list_unique(v[1:12]) = 1 AS stuck, cast(CASE WHEN len(w) = 0 THEN 0 ELSE coalesce(list_min(list_transform(v, lambda x, i: CASE WHEN x <> v[1] THEN i - 1 END)), len(w)) END AS INT) AS run FROM r""")
 def repeated_tails(spark, d):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")
     return table(spark, d, "documents").select("doc_id", text.stuck_tail(words).alias("stuck"), text.tail_run(words).alias("run"))
@@ -415,18 +419,50 @@ def staged_matching(spark, d):
     return records.staged_matching(lists(spark, d, names=True))
 
 
-@query()
+KEY = b"an example key of thirty-two bytes!"
+PADS = [bytes(c ^ p for c in KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, 'dq_' || sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(cast(c_custkey AS VARCHAR))))) AS pseudonym FROM customer")
 def pseudonyms(spark, d):
-    return table(spark, d, "customer").select("c_custkey", pseudonym(F.col("c_custkey"), b"an example key of thirty-two bytes!").alias("pseudonym"))
+    return table(spark, d, "customer").select("c_custkey", pseudonym(F.col("c_custkey"), KEY).alias("pseudonym"))
 
 
-@query()
-def spelt_references(spark, d):
-    """Raw spellings through the Arrow normaliser, then the comparison."""
+#: raw spellings of laws (number, name) with the law they are, and of articles with the articles they are
+LAW_SPELLINGS = (("", "GVK", "no:193"), ("", "G.V.K.", "no:193"), ("", "193 sayılı Gelir Vergisi Kanununun", "no:193"), ("0193", "", "no:193"), ("", "Harçlar Kanunu", "no:492"), ("", "213 sayılı Kanun", "no:213"), ("213.0", "vergi usul kanunu", "no:213"), ("", "Kurumlar Vergisi Kanunu", "name:kurumlarvergisikanunu"), ("yok", "", "unknown"), ("2012/03305", "", "no:2012/3305"))
+ARTICLE_SPELLINGS = (("{n}/b", "{n}"), ("{n}'inci maddesi", "{n}"), ("madde {n}", "{n}"), ("Mük. {n}", "mükerrer {n}"), ("{n} ve müteakip maddeleri", "{n}"), ("- {n} (2)", "{n}"), ("{n}/A-1", "{n}/A"), ("geçiçi {n}", "geçici {n}"))
+
+
+def _spellings(spark, d):
     li = table(spark, d, "lineitem")
-    names = F.element_at(F.array(*map(F.lit, ("GVK", "Harçlar Kanunu", "213 sayılı Kanun", "", "Kurumlar Vergisi Kanunu"))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") == 1, "reference").otherwise("candidate").alias("side"), F.col("l_linenumber").cast("long").alias("pos"), F.when(F.col("l_partkey") % 5 == 3, "0193").otherwise("").alias("kanun_no"), names.alias("kanun_ad"), F.concat(F.col("l_suppkey") % 7, F.lit("/b")).alias("madde"))
-    return compare.by_document(compare.compare_lists(compare.spell(rows)))
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    n = (F.col("l_suppkey") % 7).cast("string")
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 1, "reference").otherwise("candidate").alias("side"), F.col("l_linenumber").cast("long").alias("pos"), pick([x[0] for x in LAW_SPELLINGS], F.col("l_partkey")).alias("kanun_no"), pick([x[1] for x in LAW_SPELLINGS], F.col("l_partkey")).alias("kanun_ad"), F.replace(pick([x[0] for x in ARTICLE_SPELLINGS], F.col("l_partkey") + F.col("l_suppkey")), F.lit("{n}"), n).alias("madde"))
+
+
+SPELT_SQL = f"""WITH s AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 1 THEN 'reference' ELSE 'candidate' END AS side, [{", ".join(repr(x[2]) for x in LAW_SPELLINGS)}][l_partkey % {len(LAW_SPELLINGS)} + 1] AS law, replace([{", ".join(repr(x[1]) for x in ARTICLE_SPELLINGS)}][(l_partkey + l_suppkey) % {len(ARTICLE_SPELLINGS)} + 1], '{{n}}', cast(l_suppkey % 7 AS VARCHAR)) AS article FROM lineitem)"""
+
+
+@query(SPELT_SQL + """, c AS (SELECT doc_id, law, article, bool_or(side = 'reference') AS r, bool_or(side = 'candidate') AS c FROM s GROUP BY 1, 2, 3),
+d AS (SELECT doc_id, count_if(law <> 'unknown' AND r AND c) AS tp, count_if(c AND (law = 'unknown' OR NOT r)) AS fp, count_if(law <> 'unknown' AND r AND NOT c) AS fn FROM c GROUP BY 1)
+SELECT doc_id, tp, fp, fn, 0 AS excused_reference, 0 AS excused_candidate, fp = 0 AND fn = 0 AS agree, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + fp + fn) END AS similarity FROM d""")
+def spelt_references(spark, d):
+    """Raw spellings through the Arrow normaliser, names to numbers by the fixed tables, then the comparison."""
+    return compare.by_document(compare.compare_lists(compare.spell(_spellings(spark, d))))
+
+
+@query(SPELT_SQL + " SELECT law, article, count(*) AS n FROM s GROUP BY 1, 2")
+def spelt_identities(spark, d):
+    rows = compare.identify(compare.align(compare.spell(_spellings(spark, d)).repartition("doc_id")))
+    return rows.groupBy("law", "article").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, unnest(CASE l_partkey % 5 WHEN 0 THEN ['3', '4', '5', '6'] WHEN 1 THEN ['94', '95', '96'] WHEN 2 THEN ['5', '6', '7', 'mükerrer 7'] WHEN 3 THEN ['9'] ELSE ['1 ila 900'] END) AS article FROM lineitem) SELECT doc_id, article, count(*) AS n FROM s GROUP BY 1, 2""")
+def spelt_ranges(spark, d):
+    """Ranges of articles as a row for each article; one that is too wide stays as it is, one that runs back is its first article."""
+    raw = F.element_at(F.array(*map(F.lit, ("3 ila 6", "94-96", "5 ila mükerrer 7", "9-7", "1 ila 900"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("reference").alias("side"), F.col("l_linenumber").cast("long").alias("pos"), F.lit("193").alias("kanun_no"), F.lit("").alias("kanun_ad"), raw.alias("madde"))
+    return compare.spell(rows).groupBy("doc_id", "article").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, to_json([{'role': 'user', 'n': cast(count_if(role = 'user') AS BIGINT)}, {'role': 'assistant', 'n': cast(count_if(role = 'assistant') AS BIGINT)}]) AS value FROM conversations GROUP BY 1")
@@ -474,7 +510,11 @@ def core_survivors(spark, d):
     return rounds.survivors(li, ("doc_id", "article"), (F.col("status") == "A", F.col("l_partkey") % 2, F.col("l_partkey"), F.col("status")))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT doc_id, cast(n_chars AS INT) AS n FROM documents WHERE n_chars > 0), w AS (SELECT doc_id, n, unnest(range(0, cast(greatest(0, ceil((n - 512) / 384.0)) AS INT) + 1)) AS ordinal FROM n),
+x AS (SELECT doc_id, cast(ordinal AS INT) AS ordinal, cast(least(ordinal * 384 + 512, n) - ordinal * 384 AS INT) AS n FROM w),
+p AS (SELECT doc_id, ordinal, n, 0 AS pack, n AS total, 1 AS held FROM x WHERE ordinal = 0
+ UNION ALL SELECT x.doc_id, x.ordinal, x.n, CASE WHEN total + x.n > 2048 OR held = 10 THEN pack + 1 ELSE pack END, CASE WHEN total + x.n > 2048 OR held = 10 THEN x.n ELSE total + x.n END, CASE WHEN total + x.n > 2048 OR held = 10 THEN 1 ELSE held + 1 END FROM p JOIN x ON x.doc_id = p.doc_id AND x.ordinal = p.ordinal + 1)
+SELECT doc_id, ordinal, n, pack FROM p""")
 def replay_packs(spark, d):
     w = text.token_windows(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("int").alias("n")), "n", 512, 128)
     return rounds.replay_packs(w.select("doc_id", "ordinal", (F.col("end") - F.col("start")).alias("n")), 2048)
