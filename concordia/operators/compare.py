@@ -52,7 +52,8 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def claims(rows: DataFrame) -> DataFrame:
     """One row an identity and list (the first written) with ``redundant``: a law alone beside an article of it in the list."""
-    first = rows.groupBy("doc_id", "side", "law", "article").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"), F.min_by(F.col("law_no") != "", "pos").alias("numbered"), F.min_by("name_key", "pos").alias("name_key"))
+    first_row = F.struct("pos", "law_no", "name_key")
+    first = rows.groupBy("doc_id", "side", "law", "article").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"), F.min_by(F.col("law_no") != "", first_row).alias("numbered"), F.min_by("name_key", first_row).alias("name_key"))
     of_law = Window.partitionBy("doc_id", "side", "law")
     beside = F.max(F.col("article") != "").over(of_law)
     return first.withColumn("redundant", (F.col("article") == "") & (F.col("law") != "unknown") & beside)
@@ -126,6 +127,13 @@ def diagnostics(claimed: DataFrame, verdict_rows: DataFrame) -> DataFrame:
     return claimed.agg(*sides).join(F.broadcast(matched), F.lit(True))  # one row beside one row
 
 
+def match_rates(verdict_rows: DataFrame) -> DataFrame:
+    """Of the truth's references: matched, and matched by numbers that both sides wrote."""
+    tp, truth = F.col("tp") == 1, (F.col("tp") + F.col("fn")) == 1
+    share = lambda c: F.when(F.count_if(truth) > 0, F.count_if(c) / F.count_if(truth))
+    return verdict_rows.agg(share(tp & F.col("r_numbered") & F.col("c_numbered")).alias("by_number"), share(tp).alias("matched"))
+
+
 def difference(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Identities of two lists: status same, only_a or only_b, with each side's copies and whether it is subsumed there."""
     c = claims(identify(rows))

@@ -59,6 +59,29 @@ def comparison_diagnostics(spark, d):
     return compare.diagnostics(c, compare.verdicts(c))
 
 
+NAMED_SQL = lists_sql(names=True) + """, w AS (SELECT doc_id, name_key, min(law_no) AS one, count(DISTINCT law_no) AS n FROM r WHERE law_no <> '' GROUP BY ALL),
+a AS (SELECT r.*, CASE WHEN law_no <> '' THEN 'no:' || law_no WHEN n = 1 THEN 'no:' || one ELSE 'name:' || r.name_key END AS law2 FROM r LEFT JOIN w USING (doc_id, name_key)),
+f2 AS (SELECT doc_id, side, law2 AS law, article, count(*) AS copies, arg_min(law_no <> '', (pos, law_no, name_key)) AS numbered, arg_min(name_key, (pos, law_no, name_key)) AS name FROM a GROUP BY ALL),
+c2 AS (SELECT *, article = '' AND max(cast(article <> '' AS INT)) OVER (PARTITION BY doc_id, side, law) = 1 AS redundant FROM f2),
+b2 AS (SELECT doc_id, law, article, bool_or(side = 'reference') AS r, bool_or(side = 'candidate') AS c, bool_or(side = 'reference' AND redundant) AS rr, bool_or(side = 'candidate' AND redundant) AS cr, bool_or(numbered) FILTER (side = 'reference') AS rn, bool_or(numbered) FILTER (side = 'candidate') AS cn, max(name) FILTER (side = 'reference') AS rname, max(name) FILTER (side = 'candidate') AS cname FROM c2 WHERE side IN ('reference', 'candidate') GROUP BY ALL),
+v2 AS (SELECT *, r AND NOT rr AND c AS tp, rr AS er, cr AND NOT (r AND NOT rr) AS ec FROM b2)
+"""
+
+
+@query(NAMED_SQL + "SELECT * FROM (" + ", ".join(f"SELECT count(*) AS eligible_{n}, count_if(article <> '') AS eligible_{n}_article, count_if(article = '') AS eligible_{n}_law, 0 AS no_law_{n}, cast(sum(copies - 1) AS BIGINT) AS repeated_{n} FROM c2 WHERE side = '{side}'" for side, n in (("reference", "gold"),)) + "), (SELECT count(*) AS eligible_prediction, count_if(article <> '') AS eligible_prediction_article, count_if(article = '') AS eligible_prediction_law, 0 AS no_law_prediction, cast(sum(copies - 1) AS BIGINT) AS repeated_prediction FROM c2 WHERE side = 'candidate'), (SELECT count_if(tp AND article <> '') AS matched_article, count_if(tp AND article = '') AS matched_law, count_if(tp AND rn AND cn) AS matched_by_number, count_if(tp AND NOT (rn AND cn)) AS matched_by_name, count_if(tp AND rname <> '' AND cname <> '' AND rname <> cname) AS name_conflicts, count_if(er) AS excused_gold, count_if(ec) AS excused_prediction FROM v2)")
+def name_diagnostics(spark, d):
+    """The counters where numbers are missing and names decide, without the fixed tables."""
+    c = compare.claims(compare.identify(compare.align(lists(spark, d, names=True).repartition("doc_id"), {}, {})))
+    return compare.diagnostics(c, compare.verdicts(c))
+
+
+@query(NAMED_SQL + "SELECT count_if(tp AND rn AND cn) / count_if(r AND NOT rr) AS by_number, count_if(tp) / count_if(r AND NOT rr) AS matched FROM v2")
+def match_rates(spark, d):
+    """Of the truth's references, the shares that were matched at all and by written numbers."""
+    c = compare.claims(compare.identify(compare.align(lists(spark, d, names=True).repartition("doc_id"), {}, {})))
+    return compare.match_rates(compare.verdicts(c))
+
+
 @query(lists_sql() + """, p AS (SELECT doc_id, law, article, coalesce(max(copies) FILTER (side = 'candidate'), 0) AS a, coalesce(max(copies) FILTER (side = 'model'), 0) AS b, bool_or(redundant) AS subsumed FROM c WHERE side IN ('candidate', 'model') GROUP BY ALL)
 SELECT CASE WHEN a > 0 AND b > 0 THEN 'same' WHEN a > 0 THEN 'only_a' ELSE 'only_b' END AS status, subsumed, count(*) AS n, cast(sum(a) AS BIGINT) AS copies_a, cast(sum(b) AS BIGINT) AS copies_b FROM p GROUP BY 1, 2""")
 def list_difference(spark, d):
