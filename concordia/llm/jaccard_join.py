@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_arrow, lasting, mix64, need, ngram_hashes, small
+from .common import WordHashes, by_arrow, lasting, mix64, need, ngram_hashes, small, with_row
 from .graph import connected_components
 
 PERCENT = 90
@@ -473,12 +473,13 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> Da
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the least doc_id; documents with null id stay."""
+    """One document of each component: the one with the least doc_id (of rows that repeat that id, the one of least hash); documents with
+    null id stay. The columns are those of ``docs``, whatever their names."""
     found = lasting(linked_components(docs, n, percent))
-    drop = lasting(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
-    kept = docs.join(small(drop, 2_000_000), docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
+    drop = lasting(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = with_row(docs, True, doc_id="long").join(small(drop, 2_000_000), "doc_id", "left_anti")
+    twice = lasting(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if twice.isEmpty():
-        return kept
-    again = F.col("doc_id").cast("long") == F.col("__twice")
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select("row.*")
+    one = kept.join(small(twice), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(small(twice), "doc_id", "left_anti").select("row.*").union(one.select("row.*"))
