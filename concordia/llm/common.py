@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,20 +49,24 @@ def key_crc(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded_sample(rows: DataFrame, stratum: str, each: int, key: str = "doc_id") -> tuple[DataFrame, dict]:
-    """About ``each`` rows of every stratum, chosen by a hash of ``key``, and the strata's full counts.
+def bounded_sample(rows: DataFrame, stratum: str, each: int, key: str = "doc_id", total: int | None = None) -> tuple[DataFrame, dict]:
+    """About ``each`` rows of every stratum, chosen by a hash of ``key``, and the strata's full counts; with ``total``, fewer of each where there
+    are so many strata that together they would exceed it.
 
-    Strata with no more rows than ``each`` come whole; the rest by a hash threshold, so that the sample does not depend on
-    partitioning and no group is ever sorted or collected. At most 1.5 times ``each`` rows of a stratum are returned in
-    expectation terms; the count of strata must be small (labels, languages).
+    Strata with no more rows than that come whole; the rest by a hash threshold, so that the sample does not depend on
+    partitioning and no group is ever sorted or collected. At most 1.5 times as many rows of a stratum are returned in
+    expectation terms. The strata's counts are collected: labels, languages.
     """
     counts = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).collect()}
+    if total is not None and counts:
+        each = max(1, min(each, total // len(counts)))
+    kind = rows.schema[stratum].dataType
+    shares = [(v, min(1.0, each / n)) for v, n in counts.items()]
+    schema = StructType([StructField("__v", kind), StructField("__share", DoubleType())])
+    table_ = rows.sparkSession.createDataFrame(shares, schema)
     unit = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(20240607)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        same = F.col(stratum).eqNullSafe(F.lit(value))
-        keep = keep | (same & (unit < F.lit(min(1.0, each / n))) if n > each else same)
-    return rows.where(keep), counts
+    sample = rows.join(small(table_), F.col(stratum).eqNullSafe(F.col("__v"))).where(unit < F.col("__share"))
+    return sample.select(*[rows[c] for c in rows.columns]), counts
 
 
 def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -93,11 +93,11 @@ def train(texts: list[str], langs: list[str], *, bits: int | None = None, steps:
     return CodeModel(languages, code, w.astype(np.float32), b, trust)
 
 
-def fit(docs: DataFrame, *, rows_each: int = 400, max_chars: int = 30_000, **options) -> CodeModel:
-    """Fit on at most about ``rows_each`` documents of every language (doc_id, text, lang; null lang is none), of up to
-    ``max_chars`` characters; both bounds are for training alone."""
+def fit(docs: DataFrame, *, rows_each: int = 400, rows_total: int = 6000, max_chars: int = 30_000, **options) -> CodeModel:
+    """Fit on at most about ``rows_each`` documents of every language (doc_id, text, lang; null lang is none), fewer where all languages
+    together would exceed ``rows_total`` (32 KB of counts each), of up to ``max_chars`` characters; the bounds are for training alone."""
     known = need(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    sample, _ = bounded_sample(known, "lang", rows_each)
+    sample, _ = bounded_sample(known, "lang", rows_each, total=rows_total)
     got = sorted((r[0], r[1], r[2]) for r in sample.collect() if r[0] is not None and LETTER.search(r[1]))
     return train([r[1] for r in got], [r[2] for r in got], **options)
 
