@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import by_arrow, lasting, need, small
 
 BITS = 10
+RANGE_ROWS = 2_000_000  # rows of a range partition at most, about: tables of any size get as many ranges
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -64,7 +65,7 @@ def order_documents(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = need(docs, doc_id="long", text="string", source="string", lang="string")
     rows = lasting(rows.select("doc_id", "source", "lang", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("text_hash"), F.xxhash64(F.isnull("source"), "source", "lang").alias("origin")))
-    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    least, most, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     least, span = least or 0, max(1, (most or 0) - (least or 0) + 1)
     # the least row of each group of equal texts stands for all of them; null ids and values come first
     text = ["size", "text_crc32", "text_hash"]
@@ -88,7 +89,7 @@ def order_documents(docs: DataFrame) -> DataFrame:
         return step
 
     curve = by_arrow(cells, make, "doc_id long, size long, text_crc32 long, text_hash long, origin long, hilbert long")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // RANGE_ROWS)
     key = ["hilbert", "text_crc32", "text_hash", "origin", "doc_id", "size"]
     # written once: the ranges come from a sample, so a second evaluation could cut elsewhere
     ranged = lasting(curve.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
@@ -106,3 +107,21 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     # the first position of shard s is ceil(s * total / shards)
     first = F.expr(f"cast((shard * {total}L + {shards - 1}) div {shards} as bigint)")
     return placed.withColumn("shard", number).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("position") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def bounds(docs: DataFrame, sharded: DataFrame) -> DataFrame:
+    """What a reader prunes files by: for each shard its rows and the least and greatest source, language, size and doc_id of its documents.
+    docs: with unique doc_ids; sharded: of ``shard``."""
+    d = need(docs, doc_id="long", source="string", lang="string").withColumnRenamed("doc_id", "__d")
+    both = sharded.join(d, sharded["doc_id"] == F.col("__d"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("source", "lang", "size", "doc_id") for name, f in (("least", F.min), ("most", F.max))]
+    return both.groupBy("shard").agg(F.count("*").alias("rows"), *ends)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
+    """Documents as Parquet, a folder a shard, in curve order within each: runs of the curve, whose files' statistics prune scans by any of
+    the dimensions. docs: with unique doc_ids. A reader that filters by shard, source, language, size or doc_id skips most files."""
+    placed = lasting(shard(docs, shards).select(F.col("doc_id").alias("__d"), "shard", "slot"))
+    rows = docs.join(placed, docs["doc_id"].cast("long").eqNullSafe(F.col("__d"))).drop("__d")
+    per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(max(per, shards), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
