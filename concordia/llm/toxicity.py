@@ -31,7 +31,7 @@ SPAN = 32
 PAD = 8
 FLOOR = 0.03
 SCALE = 200.0  # a passage's mean dilutes one word's vector: the scale keeps its margin in reach
-START, GAIN, SHRINK = 4.0, 0.3, 6.0  # an empty passage's first margin below 0; size and shrinkage of the n-grams' first vectors
+START, GAIN, SHRINK = 4.0, 1.0, 6.0  # an empty passage's first margin below 0; size and shrinkage of the n-grams' first vectors
 
 
 def tokens_of(text: str | None) -> list[str]:
