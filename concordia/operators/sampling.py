@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,13 +30,27 @@ def hash_split(rows: DataFrame, parts: dict[str, int], namespace: str, key: str
     return rows.withColumn("split", out)
 
 
-def round_robin(rows: DataFrame, n: int | Column, stratum: str, namespace: str, key: str = "doc_id") -> DataFrame:
-    """Rows dealt one stratum after the other in hash order: rank within the stratum first, then the stratum's name."""
-    within = rows.withColumn("h", hash_order(namespace, key)).withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy("h")))
-    if isinstance(n, int):
-        return within.orderBy("turn", stratum).limit(n).drop("h")
-    ranked = within.withColumn("place", F.row_number().over(Window.orderBy("turn", stratum)))
-    return ranked.where(F.col("place") <= n).drop("h", "place")
+def least_hashes(rows: DataFrame, n: int, stratum: str, namespace: str, key: str = "doc_id") -> DataFrame:
+    """The ``n`` rows of least hash of each stratum, with their ``turn`` from 1.
+
+    A stratum may hold any share of the rows, so only rows below a hash threshold are ranked, about four times as many as are wanted; where
+    that proves too few for some stratum, which is unlikely in the extreme, all are.
+    """
+    h = hash_order(namespace, key)
+    counts = rows.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    point = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy("h"))
+    ranked = lambda df: df.withColumn("h", h).withColumn("turn", turn).where(F.col("turn") <= n).drop("h")
+    near = rows.join(counts, F.col(stratum).eqNullSafe(F.col("__s"))).where(point < (4.0 * n + 64) / F.col("__n")).drop("__s", "__n")
+    out = ranked(near)
+    got = out.groupBy(F.col(stratum).alias("__g")).agg(F.count("*").alias("__k"))
+    short = counts.join(got, F.col("__s").eqNullSafe(F.col("__g")), "left").where(F.coalesce("__k", F.lit(0)) < F.least(F.col("__n"), F.lit(n)))
+    return out if short.isEmpty() else ranked(rows)
+
+
+def round_robin(rows: DataFrame, n: int, stratum: str, namespace: str, key: str = "doc_id") -> DataFrame:
+    """``n`` rows dealt one stratum after the other in hash order: rank within the stratum first, then the stratum's name."""
+    return least_hashes(rows, n, stratum, namespace, key).orderBy("turn", stratum).limit(n)
 
 
 def audit_size(rows: DataFrame, share: float = 0.1, least: int = 30) -> int:
@@ -47,7 +61,7 @@ def audit_size(rows: DataFrame, share: float = 0.1, least: int = 30) -> int:
 
 def pilot(rows: DataFrame, bucket: str, buckets: tuple[str, ...], each: int, refill: tuple[str, ...], namespace: str, key: str = "doc_id") -> DataFrame:
     """``each`` rows a bucket in hash order; what a bucket lacks comes from the others in turn, in ``refill``'s order."""
-    ranked = rows.where(F.col(bucket).isin(*buckets)).withColumn("turn", F.row_number().over(Window.partitionBy(bucket).orderBy(hash_order(namespace, key))))
+    ranked = least_hashes(rows.where(F.col(bucket).isin(*buckets)), each * len(buckets), bucket, namespace, key)
     first = ranked.where(F.col("turn") <= each)
     lacking = len(buckets) * each - first.count()
     order = sum((F.when(F.col(bucket) == b, i).otherwise(0) for i, b in enumerate(refill)), F.lit(0))

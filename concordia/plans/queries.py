@@ -290,6 +290,15 @@ def pilot_sample(spark, d):
     return sampling.pilot(o, "o_orderstatus", ("F", "O", "P"), 20, ("O", "F", "P"), "pilot", "o_orderkey")
 
 
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('refill:' || o_orderkey)) AS turn FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND (o_orderpriority <> '1-URGENT' OR o_orderkey % 97 = 1)),
+f AS (SELECT * FROM r WHERE turn <= 20), x AS (SELECT * FROM r WHERE turn > 20 ORDER BY turn, CASE o_orderpriority WHEN '3-MEDIUM' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END LIMIT (SELECT 60 - count(*) FROM f)) SELECT * FROM f UNION ALL SELECT * FROM x""")
+def pilot_refill(spark, d):
+    """A pilot in which one bucket falls short and the others fill its places in turn."""
+    p = F.col("o_orderpriority")
+    o = table(spark, d, "orders").where((p != "1-URGENT") | (F.col("o_orderkey") % 97 == 1)).select("o_orderkey", "o_orderpriority")
+    return sampling.pilot(o, "o_orderpriority", ("1-URGENT", "2-HIGH", "3-MEDIUM"), 20, ("3-MEDIUM", "2-HIGH", "1-URGENT"), "refill", "o_orderkey")
+
+
 @query("""WITH s AS (SELECT list(cast(n_chars AS DOUBLE) ORDER BY n_chars) AS l, count(*) AS n FROM documents), c AS (SELECT k, l, n, least(greatest(cast(floor((n + 1) * k / 4.0) AS BIGINT), 1), n - 1) AS j, (n + 1) * k / 4.0 AS p FROM s, (VALUES (1), (2), (3)) t(k)), q AS (SELECT k, l[j] * (1 - (p - j)) + l[j + 1] * (p - j) AS v FROM c)
 SELECT max(v) FILTER (k = 1) AS q1, max(v) FILTER (k = 2) AS q2, max(v) FILTER (k = 3) AS q3 FROM q""")
 def length_quartiles(spark, d):
@@ -543,4 +552,4 @@ def replay_packs(spark, d):
     return rounds.replay_packs(w.select("doc_id", "ordinal", (F.col("end") - F.col("start")).alias("n")), 2048)
 
 
-from . import assembly, audits, evaluation, preparation, views  # noqa: E402, F401  their queries register on import
+from . import assembly, audits, contracts, evaluation, preparation, views  # noqa: E402, F401  their queries register on import

@@ -78,3 +78,30 @@ def test_selection_problems(spark):
     df = spark.createDataFrame(rows, "g string, score int, fit boolean, chosen boolean")
     got = {r.g: r.problem for r in ev.selection_problems(df, F.col("fit"), (F.col("score"),), "g", F.col("chosen")).collect()}
     assert got == {"a": "outranked", "b": "not_eligible", "d": "not_one"}
+
+
+def test_file_manifest(spark, tmp_path):
+    import hashlib
+
+    from concordia.operators import contracts as con
+
+    for name in ("b.txt", "a.txt"):
+        (tmp_path / name).write_text(name * 3)
+    manifest = con.file_manifest(spark, str(tmp_path))
+    want = {n: hashlib.sha256((n * 3).encode()).hexdigest() for n in ("a.txt", "b.txt")}
+    assert {r.name: r.sha256 for r in manifest.collect()} == want
+    lines = "\n".join(sorted(f"{h}  {n}" for n, h in want.items()))
+    assert con.manifest_hash(manifest).first().hash == hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_least_hashes_are_exact(spark):
+    import hashlib
+
+    from concordia.operators import sampling
+
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN 'small' WHEN id = 1 THEN NULL ELSE 'large' END AS s")
+    got = sorted((r.s or "", r.turn, r.doc_id) for r in sampling.least_hashes(rows, 5, "s", "x").collect())
+    by = {}
+    for i in sorted(range(3000), key=lambda i: hashlib.sha256(f"x:{i}".encode()).hexdigest()):
+        by.setdefault("small" if i % 50 == 0 else "" if i == 1 else "large", []).append(i)
+    assert got == sorted((s, k + 1, i) for s, ids in by.items() for k, i in enumerate(ids[:5]))
