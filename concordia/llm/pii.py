@@ -287,7 +287,7 @@ def owned(starts: list[int], length: int) -> list[int]:
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
     """Runs of one tag over a whole text."""
-    edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+    edges = np.flatnonzero(np.diff(tags, prepend=np.uint8(0), append=np.uint8(0)))
     return [(int(a), int(b), KINDS[tags[a] - 1]) for a, b in zip(edges, edges[1:], strict=False) if tags[a]]
 
 
