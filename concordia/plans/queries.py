@@ -552,4 +552,4 @@ def replay_packs(spark, d):
     return rounds.replay_packs(w.select("doc_id", "ordinal", (F.col("end") - F.col("start")).alias("n")), 2048)
 
 
-from . import assembly, audits, contracts, evaluation, preparation, views  # noqa: E402, F401  their queries register on import
+from . import assembly, audits, contracts, evaluation, preparation, views, workflow  # noqa: E402, F401  their queries register on import
