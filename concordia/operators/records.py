@@ -47,10 +47,13 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame, key: tuple[str, .
 
 
 def id_set_digest(rows: DataFrame, key: str) -> DataFrame:
-    """A digest of a set of ids that does not depend on order: bounded pieces, by the id's own hash, are digested first."""
+    """A digest of a set of ids that does not depend on order: 16 million pieces, by the id's own hash, are digested first, then 4096 pieces of
+    those, then these."""
     ids = rows.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL").distinct()
-    pieces = ids.groupBy(F.substring(F.sha2("id", 256), 1, 3).alias("piece")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), ","), 256).alias("h"), F.count("*").alias("n"))
-    return pieces.agg(F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "h"))), lambda x: x["h"]), ","), 256).alias("digest"))
+    level = ids.groupBy(F.substring(F.sha2("id", 256), 1, 6).alias("piece")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), ","), 256).alias("h"), F.count("*").alias("n"))
+    join = lambda: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "h"))), lambda x: x["h"]), ","), 256)
+    level = level.groupBy(F.substring("piece", 1, 3).alias("top")).agg(join().alias("h"), F.sum("n").alias("n")).withColumnRenamed("top", "piece")
+    return level.agg(F.sum("n").alias("ids"), join().alias("digest"))
 
 
 def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,16 +62,16 @@ def survivors(rows: DataFrame, key: tuple[str, ...], order: tuple[Column, ...],
 
 
 def endpoint_ranges(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Ranges ``a-b`` or ``a ila b`` that a text writes of which a list holds both ends, of exactly one law, and nothing between:
+    """Ranges ``a-b`` or ``a ila b`` that a text writes of which a list holds, for exactly one law, both ends and nothing between:
     doc_id, law_no, first, last."""
     marks = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![0-9/.-])([0-9]{1,4}\s*(?:-|–|ila)\s*[0-9]{1,4})(?![0-9/.-])"), 1))).alias("m"))
     ends = marks.select("doc_id", F.regexp_extract("m", "^([0-9]+)", 1).cast("int").alias("first"), F.regexp_extract("m", "([0-9]+)$", 1).cast("int").alias("last"))
     ends = ends.where(F.col("last") - F.col("first") > 1).where(F.col("last") - F.col("first") < d.WIDEST_RANGE).distinct()
     held = rows.where(F.col("article").rlike("^[0-9]{1,4}$")).groupBy("doc_id", "law_no").agg(F.collect_set(F.col("article").cast("int")).alias("held"))
     within = ends.join(held, "doc_id").where(F.array_contains("held", F.col("first")) & F.array_contains("held", F.col("last")))
-    by = Window.partitionBy("doc_id", "first", "last")
-    single = within.withColumn("laws", F.count("*").over(by)).where("laws = 1")
-    return single.where(~F.exists("held", lambda x: (x > F.col("first")) & (x < F.col("last")))).select("doc_id", "law_no", "first", "last")
+    bare = within.where(~F.exists("held", lambda x: (x > F.col("first")) & (x < F.col("last"))))
+    by = bare.groupBy("doc_id", "first", "last").agg(F.count("*").alias("laws"), F.first("law_no").alias("law_no"))
+    return by.where("laws = 1").select("doc_id", "law_no", "first", "last")
 
 
 def replay_packs(rows: DataFrame, limit: int, most: int = 10) -> DataFrame:

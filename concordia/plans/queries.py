@@ -337,9 +337,10 @@ def folded_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(fold_text("text"), 256).alias("folded"), F.sha2(loose_text("text"), 256).alias("loose"))
 
 
-@query("WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS mention, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) - 1 AS ordinal FROM documents) SELECT doc_id, cast(ordinal AS INT) AS ordinal, mention FROM m")
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m, regexp_split_to_array(text, '[0-9]+') AS g FROM documents), e AS (SELECT doc_id, unnest(range(0, len(m))) AS ordinal, unnest(m) AS mention, unnest(g[1 : len(m)]) AS gap FROM p)
+SELECT doc_id, cast(ordinal AS INT) AS ordinal, mention, cast(sum(length(gap) + length(mention)) OVER (PARTITION BY doc_id ORDER BY ordinal) - length(mention) AS INT) AS start FROM e""")
 def number_mentions(spark, d):
-    return text.numbered_mentions(table(spark, d, "documents"), "[0-9]+").select("doc_id", "ordinal", "mention")
+    return text.numbered_mentions(table(spark, d, "documents"), "[0-9]+")
 
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS place, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 5 END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS in_force FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)")
@@ -404,7 +405,7 @@ def universe_check(spark, d):
     return records.same_set(table(spark, d, "orders").select("o_custkey"), table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
 
 
-@query("WITH i AS (SELECT DISTINCT cast(o_orderkey AS VARCHAR) AS id FROM orders), p AS (SELECT substr(sha256(id), 1, 3) AS piece, sha256(string_agg(id, ',' ORDER BY id)) AS h, count(*) AS n FROM i GROUP BY 1) SELECT cast(sum(n) AS BIGINT) AS ids, sha256(string_agg(h, ',' ORDER BY piece)) AS digest FROM p")
+@query("WITH i AS (SELECT DISTINCT cast(o_orderkey AS VARCHAR) AS id FROM orders), p AS (SELECT substr(sha256(id), 1, 6) AS piece, sha256(string_agg(id, ',' ORDER BY id)) AS h, count(*) AS n FROM i GROUP BY 1), q AS (SELECT substr(piece, 1, 3) AS top, sha256(string_agg(h, ',' ORDER BY piece)) AS h, sum(n) AS n FROM p GROUP BY 1) SELECT cast(sum(n) AS BIGINT) AS ids, sha256(string_agg(h, ',' ORDER BY top)) AS digest FROM q")
 def id_set_digest(spark, d):
     return records.id_set_digest(table(spark, d, "orders"), "o_orderkey")
 

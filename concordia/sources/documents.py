@@ -22,11 +22,33 @@ def ground_truth(spark: SparkSession, path: str, drafts: bool = False) -> DataFr
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """The last block of each integer doc_id in a file's order, with how often the id came."""
     schema = f"doc_id string, status string, references array<{REFERENCE}>, operational map<string,string>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("place", F.monotonically_increasing_id())
+    # a file of one array is read by one task, in its order; files come by their names
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("place", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
     rows = rows.where(F.col("doc_id").rlike("^-?[0-9]+$")).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("status", F.coalesce("status", F.lit("success")))
     return rows.groupBy("doc_id").agg(F.max_by(F.struct("status", "references", "operational"), "place").alias("b"), F.count("*").alias("blocks")).select("doc_id", "b.*", "blocks")
 
 
+def prediction_statuses(spark: SparkSession, path: str) -> DataFrame:
+    """How many blocks have each status, and how many have an id that is no whole number."""
+    rows = spark.read.schema("doc_id string, status string, _corrupt_record string").option("multiLine", True).json(path)
+    state = F.when(~F.coalesce(F.col("doc_id").rlike("^-?[0-9]+$"), F.lit(False)), "unusable_id").otherwise(F.coalesce("status", F.lit("success")))
+    return rows.groupBy(state.alias("status")).agg(F.count("*").alias("n"))
+
+
+def universe(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct document ids that files name: arrays of numbers, or of objects with doc_id."""
+    lists = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("v"))
+    each = lists.select(F.explode("v").alias("x"))
+    number = F.coalesce(F.get_json_object("x", "$.doc_id"), F.col("x"))
+    return each.select(number.try_cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """method, precision, recall and f1 of a stored report: a JSON array of results."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<results:array<struct<method:string,core:struct<precision:double,recall:double,f1:double>>>>").alias("v"))
+    return rows.select(F.explode("v.results").alias("r")).select("r.method", "r.core.*")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines by schema; unreadable ones are kept whole in ``_corrupt_record``."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
