@@ -94,16 +94,29 @@ def verdicts(claimed: DataFrame, reference: str = "reference", candidate: str =
     })
 
 
+def verdicts_by_method(claimed: DataFrame, methods: tuple[str, ...], reference: str = "reference") -> DataFrame:
+    """``verdicts``' flags of several candidates against one reference, with ``method``: one aggregation over all lists."""
+    on = lambda side, c: F.coalesce(F.bool_or(F.when(F.col("side") == side, c)), F.lit(False))
+    both = claimed.where(F.col("side").isin(reference, *methods)).groupBy("doc_id", "law", "article").agg(
+        on(reference, F.lit(True)).alias("r"), on(reference, F.col("redundant")).alias("rr"),
+        *[F.struct(F.lit(m).alias("method"), on(m, F.lit(True)).alias("c"), on(m, F.col("redundant")).alias("cr")).alias(m) for m in methods],
+    )
+    rows = both.select("doc_id", "law", "article", "r", "rr", F.explode(F.array(*methods)).alias("x")).select("doc_id", "law", "article", "r", "rr", "x.*").where("r OR c")
+    known, truth, c, cr = F.col("law") != "unknown", F.col("r") & ~F.col("rr"), F.col("c"), F.col("cr")
+    flags = {"tp": known & truth & c, "fn": known & truth & ~c, "fp": c & (~known | (~truth & ~cr)), "excused_reference": known & F.col("rr"), "excused_candidate": known & cr & ~truth}
+    return rows.select("method", "doc_id", "law", "article", *[f.cast("long").alias(n) for n, f in flags.items()])
+
+
 def compare_lists(rows: DataFrame, reference: str = "reference", candidate: str = "candidate", aligned: bool = False, tables: tuple | None = None) -> DataFrame:
     """``verdicts`` of spelt rows; every side's rows take part in the alignment, so further lists are context."""
     rows = rows if aligned else align(rows.repartition("doc_id"), *(tables or (None, None)))
     return verdicts(claims(identify(rows)), reference, candidate)
 
 
-def by_document(verdict_rows: DataFrame) -> DataFrame:
-    """tp, fp, fn, excused counts, agree and similarity of each document."""
+def by_document(verdict_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn, excused counts, agree and similarity of each document (and of each of ``by``)."""
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "excused_reference", "excused_candidate")]
-    out = verdict_rows.groupBy("doc_id").agg(*sums)
+    out = verdict_rows.groupBy(*by, "doc_id").agg(*sums)
     whole = F.col("tp") + F.col("fp") + F.col("fn")
     return out.withColumns({"agree": (F.col("fp") == 0) & (F.col("fn") == 0), "similarity": F.when(whole == 0, 1.0).otherwise(F.col("tp") / whole)})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dimensions as d
-from .compare import by_document, compare_lists
+from .compare import align, by_document, claims, identify, verdicts_by_method
 from .metrics import f1, precision_recall, ratio
 
 
@@ -93,13 +93,16 @@ def name_consistency(number: Column, name: Column) -> tuple[Column, Column]:
     return F.when(given, name == F.element_at(names, number)), F.when(given, number == F.element_at(numbers, name))
 
 
-def evaluate(rows: DataFrame, method: str, docs: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """One method's line: documents, micro counts and ratios, and how many documents reach ``threshold``. rows: both sides' lists;
-    docs: the universe; documents without rows count as empty against empty."""
-    per = docs.where("state <> 'no_gold'").select("doc_id").join(by_document(compare_lists(rows, "reference", method)), "doc_id", "left").fillna(0, ["tp", "fp", "fn"])
+def evaluate(rows: DataFrame, methods: tuple[str, ...], docs: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """A line for each method: documents, micro counts and ratios, and how many documents reach ``threshold``. rows: all sides' lists, aligned and
+    compared once for all methods; docs: the universe; documents without rows count as empty against empty."""
+    claimed = claims(identify(align(rows.repartition("doc_id"))))
+    scored = by_document(verdicts_by_method(claimed, methods), ("method",))
+    due = docs.where("state <> 'no_gold'").select("doc_id", F.explode(F.array(*map(F.lit, methods))).alias("method"))
+    per = due.join(scored, ["doc_id", "method"], "left").fillna(0, ["tp", "fp", "fn"])
     score = f1(F.col("tp"), F.col("fp"), F.col("fn"), 1.0)
-    out = per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.count("*").alias("docs"), F.count_if(score >= threshold).alias("passed"))
-    return out.withColumns(precision_recall()).withColumns({"accuracy": ratio(F.col("passed"), F.col("docs")), "method": F.lit(method), "threshold": F.lit(threshold)})
+    out = per.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.count("*").alias("docs"), F.count_if(score >= threshold).alias("passed"))
+    return out.withColumns(precision_recall()).withColumns({"accuracy": ratio(F.col("passed"), F.col("docs")), "threshold": F.lit(threshold)})
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -87,8 +87,7 @@ v AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precis
 def _results(spark, d):
     rows = lists(spark, d)
     docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("evaluated").alias("state"))
-    parts = [ev.evaluate(rows, m, docs, 0.8) for m in RATERS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ev.evaluate(rows, RATERS, docs, 0.8)
 
 
 @query(EVALUATE_SQL + " SELECT method, tp, fp, fn, docs, passed, precision, recall, f1, accuracy, cast(0.8 AS DOUBLE) AS threshold, row_number() OVER (ORDER BY f1 DESC, method) AS rank FROM v")

@@ -141,9 +141,8 @@ def docwise_accuracy(spark, d):
 
 
 def _method_metrics(spark, d):
-    rows = lists(spark, d)
-    parts = [metrics.corpus_metrics(compare.by_document(compare.compare_lists(rows, "reference", m))).withColumn("method", F.lit(m)) for m in RATERS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    claimed = compare.claims(compare.identify(compare.align(lists(spark, d).repartition("doc_id"))))
+    return metrics.corpus_metrics(compare.by_document(compare.verdicts_by_method(claimed, RATERS), ("method",)), ("method",))
 
 
 METHODS_SQL = lists_sql() + ", m AS (" + " UNION ALL ".join(f"(SELECT '{m}' AS method, cast(sum(r AND NOT rr AND c) AS DOUBLE) AS tp, cast(sum(c AND NOT (r AND NOT rr) AND NOT cr) AS DOUBLE) AS fp, cast(sum(r AND NOT rr AND NOT c) AS DOUBLE) AS fn FROM (SELECT bool_or(side = 'reference') AS r, bool_or(side = '{m}') AS c, bool_or(side = 'reference' AND redundant) AS rr, bool_or(side = '{m}' AND redundant) AS cr FROM c WHERE side IN ('reference', '{m}') GROUP BY doc_id, law, article))" for m in RATERS) + "), p AS (SELECT method, " + PR_SQL.format(e="0.0") + " FROM m)"
@@ -447,8 +446,14 @@ def _reviews(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), bucket.alias("bucket"), (c % 40 == 1).alias("pilot"), (c % 10 == 2).alias("audit"), F.when(c % 3 == 0, "finalized").when(c % 50 == 0, "deferred").otherwise("pending").alias("status"))
 
 
-@query()
+@query(lists_sql(names=True) + """, k AS (SELECT doc_id, law_no, name_key, article, count(*) FILTER (side = 'reference') AS g, count(*) FILTER (side = 'candidate') AS c FROM r GROUP BY ALL),
+t AS (SELECT doc_id, name_key, article, sum(least(g, c)) AS m, sum(c - least(g, c)) AS l FROM k WHERE law_no <> '' GROUP BY ALL),
+n AS (SELECT doc_id, name_key, article, least(g, c) AS m, g - least(g, c) AS rest FROM k WHERE law_no = ''),
+x AS (SELECT doc_id, coalesce(t.m, 0) + coalesce(n.m, 0) + least(coalesce(n.rest, 0), coalesce(t.l, 0)) AS m FROM t FULL JOIN n USING (doc_id, name_key, article)),
+s AS (SELECT doc_id, sum(m) AS tp FROM x GROUP BY 1), z AS (SELECT doc_id, sum(g) AS g, sum(c) AS c FROM k GROUP BY 1)
+SELECT doc_id, cast(tp AS BIGINT) AS tp, cast(c - tp AS BIGINT) AS fp, cast(g - tp AS BIGINT) AS fn FROM s JOIN z USING (doc_id)""")
 def staged_matching(spark, d):
+    """Rows without a number meet rows of their name alone first, then any left over; so counts by key say the same as matching in turn."""
     return records.staged_matching(lists(spark, d, names=True))
 
 
