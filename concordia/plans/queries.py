@@ -304,7 +304,15 @@ def length_quartiles(spark, d):
     return sampling.quartiles(table(spark, d, "documents"), "n_chars")
 
 
-@query()
+OWN_SQL = "CASE WHEN d.s = r.s THEN r.own ELSE [0, 0, 0, 0, 0, 0] END"
+PICK_SQL = f"list_sort(list_filter(list_transform(range(1, 7), lambda j: [({OWN_SQL})[j], r.total[j], j]), lambda x: x[2] < 25))[1][3]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT o_orderkey AS k, o_orderpriority || '|' || o_orderstatus AS s FROM orders ORDER BY sha256('deal:pool:' || o_orderkey) LIMIT 150), n AS (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM c),
+d AS (SELECT k, s, row_number() OVER (ORDER BY n, s, sha256('deal:' || k)) AS i FROM n),
+r AS (SELECT 0::BIGINT AS i, '' AS s, [0, 0, 0, 0, 0, 0] AS total, [0, 0, 0, 0, 0, 0] AS own, NULL::BIGINT AS k, NULL::BIGINT AS b
+ UNION ALL SELECT x.i, x.s, list_transform(x.total, lambda t, j: t + CASE WHEN j = x.b THEN 1 ELSE 0 END), list_transform(x.own, lambda t, j: t + CASE WHEN j = x.b THEN 1 ELSE 0 END), x.k, x.b FROM (SELECT d.i, d.s, r.total, {OWN_SQL} AS own, d.k, {PICK_SQL} AS b FROM r JOIN d ON d.i = r.i + 1) x)
+SELECT k AS o_orderkey, cast(b AS INT) AS batch FROM r WHERE i > 0""")
 def dealt_batches(spark, d):
     return sampling.deal_batches(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), 6, 25, ("o_orderpriority", "o_orderstatus"), "deal", "o_orderkey")
 
