@@ -110,6 +110,27 @@ def _bmp(b: bytes, at: int, seen: dict):
 
 
 def _gzip(b: bytes, at: int, seen: dict):
+    """A header whose optional fields end, then a stream to its end. Where the next zero byte is, is remembered: names end there."""
+
+    def zero(p: int) -> int:
+        begin, found = seen.get("zero", (0, -2))
+        if found == -2 or p < begin or 0 <= found < p:
+            found = b.find(b"\0", p)
+            seen["zero"] = p, found
+        return found
+
+    flags, p = (b[at + 3] if at + 10 <= len(b) else 0xFF), at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        if p + 2 > len(b):
+            return None
+        p += 2 + struct.unpack_from("<H", b, p)[0]
+    for bit in (8, 16):
+        if flags & bit:
+            if (end := zero(p)) < 0:
+                return None
+            p = end + 1
     d, p, view = zlib.decompressobj(31), at, memoryview(b)
     try:
         while p < len(b) and not d.eof:
