@@ -14,7 +14,12 @@ EDGE = " .,:;-'\""
 
 def clean(value) -> str:
     """Entities read, compatibility forms joined, invisible marks dropped, blanks folded."""
-    return " ".join(unicodedata.normalize("NFKC", html.unescape(str(value or ""))).translate(_INVISIBLE).split())
+    text = str(value or "")
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():  # ASCII is its own compatibility form
+        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+    return " ".join(text.split())
 
 
 def fold(value: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dimensions as d
+from .compare import claims, drop_policy, verdicts_by_method
 from .metrics import precision_recall
 from .sampling import hash_order
 
@@ -59,16 +60,20 @@ def error_blocks(bits: DataFrame, raters: tuple[str, ...], decided: DataFrame, l
     return out.withColumns(precision_recall(1.0))
 
 
-def reference_table(rows: DataFrame, verdict_rows: DataFrame, source: str, policy: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """One source's line: rows it wrote and the policy dropped, repeats, law rows covered by an article, references, and how they fare against
-    the truth. rows: the source's identified rows (doc_id, law_no, law, article); verdict_rows: of rows after the policy."""
+def reference_tables(rows: DataFrame, sources: tuple[str, ...], policy: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """A line for each source: rows it wrote and the policy dropped, repeats, law rows covered by an article, references, and how they fare
+    against the truth. rows: all sides' identified rows, clustered by doc_id; every step but the last sums stays with a document."""
     hit = F.lit(False)
     for number, article in policy:
         hit = hit | ((F.col("law_no") == number) & (F.col("article") == article))
-    written = rows.agg(F.count_if(~hit).alias("written_rows"), F.count_if(hit).alias("policy_dropped"), F.count_distinct(F.when(~hit, F.struct("doc_id", "law", "article"))).alias("__distinct"), F.count_distinct("doc_id").alias("documents"))
-    scored = verdict_rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.coalesce(F.sum("excused_candidate"), F.lit(0)).alias("subsumed_rows"))
-    out = written.join(F.broadcast(scored), F.lit(True))  # one row beside one row
-    out = out.withColumns({"duplicate_rows": F.col("written_rows") - F.col("__distinct"), "written_references": F.col("tp") + F.col("fp"), "truth_references": F.col("tp") + F.col("fn"), "source": F.lit(source)})
+    own = rows.where(F.col("side").isin(*sources)).groupBy("doc_id", "side", "law", "article", hit.alias("hit")).agg(F.count("*").alias("n"))
+    kept = lambda c: F.coalesce(F.sum(F.when(~F.col("hit"), c)), F.lit(0))
+    by_doc = own.groupBy("doc_id", "side").agg(kept(F.col("n")).alias("w"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("d"), kept(F.lit(1)).alias("k"))
+    written = by_doc.groupBy(F.col("side").alias("source")).agg(F.count("*").alias("documents"), F.sum("w").alias("written_rows"), F.sum("d").alias("policy_dropped"), F.sum("k").alias("__distinct"))
+    scored = verdicts_by_method(claims(drop_policy(rows, policy)), sources)
+    scored = scored.groupBy(F.col("method").alias("source")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.sum("excused_candidate").alias("subsumed_rows"))
+    out = written.join(scored, "source", "left").fillna(0, ["tp", "fp", "fn", "subsumed_rows"])
+    out = out.withColumns({"duplicate_rows": F.col("written_rows") - F.col("__distinct"), "written_references": F.col("tp") + F.col("fp"), "truth_references": F.col("tp") + F.col("fn")})
     return out.withColumns(precision_recall(1.0)).drop("__distinct")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.normalize import clean, folded, loose
+from ..functions.normalize import clean, fold_clean, folded, loose, loose_folded
 
 
 def mode_of(quote: str | None, text: str | None) -> str | None:
@@ -27,7 +27,8 @@ def evidence_mode(source: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([mode_of(q, t) for q, t in zip(source, text, strict=True)], dtype=object)
 
 
-MODES = (("exact", clean), ("folded", folded), ("loose", loose))
+#: each mode's form, made from the form before it
+MODES = (("exact", clean), ("folded", fold_clean), ("loose", loose_folded))
 
 
 def evidence_pairs(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
@@ -44,24 +45,26 @@ def evidence_pairs(docs: DataFrame, items: DataFrame, block: int = 20_000) -> Da
 
     def find(part):
         def run(frames):
-            machines = []
+            machines, spelt = [], [q for _, q in part]
             for name, form in MODES:
                 by: dict[str, list] = {}
-                for item, q in part:
-                    if spelt := form(q):
-                        by.setdefault(spelt, []).append(item)
+                spelt = [form(q) for q in spelt]
+                for (item, _), q in zip(part, spelt, strict=True):
+                    if q:
+                        by.setdefault(q, []).append(item)
                 machine = ahocorasick.Automaton()
                 for q, owners in by.items():
                     machine.add_word(q, owners)
                 if by:
                     machine.make_automaton()
-                    machines.append((name, form, machine))
+                machines.append((name, form, machine if by else None))
             for pdf in frames:
                 out = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     seen: dict = {}
                     for name, form, machine in machines:
-                        for _, owners in machine.iter(form(text)):
+                        text = form(text)
+                        for _, owners in machine.iter(text) if machine else ():
                             for item in owners:
                                 seen.setdefault(item, name)
                     out += [(doc, item, name) for item, name in seen.items()]

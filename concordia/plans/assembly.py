@@ -62,12 +62,8 @@ s_{m} AS (SELECT cast(sum(cast(r AND NOT rr AND c AS INT)) AS BIGINT) AS tp, cas
 w_{m} AS (SELECT count_if(NOT (law_no = '213' AND article = '4')) AS written_rows, count_if(law_no = '213' AND article = '4') AS policy_dropped, count(DISTINCT doc_id) AS documents, count(DISTINCT CASE WHEN NOT (law_no = '213' AND article = '4') THEN (doc_id, law_no, article) END) AS dist FROM r0 WHERE side = '{m}')""" for m in RATERS) + " " + " UNION ALL ".join(f"SELECT '{m}' AS source, documents, written_rows, policy_dropped, written_rows - dist AS duplicate_rows, subsumed_rows, tp + fp AS written_references, tp + fn AS truth_references, tp, fp, fn, {PR_SQL.format(e='1.0')} FROM s_{m}, w_{m}" for m in RATERS))
 def reference_tables(spark, d):
     """A line for each source; documents are those in which it wrote anything."""
-    rows, policy, out = compare.identify(compare.align(lists(spark, d).repartition("doc_id"))), (("213", "4"),), None
-    kept = compare.claims(compare.drop_policy(rows, policy))
-    for m in RATERS:
-        line = asm.reference_table(rows.where(F.col("side") == m), compare.verdicts(kept, "reference", m), m, policy)
-        out = line if out is None else out.unionByName(line)
-    return out
+    rows = compare.identify(compare.align(lists(spark, d).repartition("doc_id")))
+    return asm.reference_tables(rows, RATERS, (("213", "4"),))
 
 
 @query("""WITH m AS (SELECT c_mktsegment AS candidate, avg(c_acctbal) / 10000 AS f1, avg(c_nationkey) / 25 AS docwise, max(c_acctbal) / 10000 AS recall, count(*) AS n, count_if(c_custkey % 30 = 0) AS truncated FROM customer GROUP BY 1)
