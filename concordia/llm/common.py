@@ -96,7 +96,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words given as bytes, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -139,6 +139,17 @@ def with_row(df: DataFrame, keep: bool, **columns: str) -> DataFrame:
     return df.select(*picked, *[F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * keep)
 
 
+def with_text(df: DataFrame, keep: bool) -> DataFrame:
+    """``with_row`` of doc_id and the text, which travels once: where ``row`` holds it as a string, there is no column of its own."""
+    rows = with_row(df, keep, doc_id="long", text="string")
+    return rows.drop("text") if keep and dict(df.dtypes).get("text") == "string" else rows
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of ``with_text``."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
 def added_schema(rows: DataFrame, without: str, more: str) -> StructType:
     """The fields of ``rows`` but for ``without``, followed by those of a DDL text."""
     return StructType([f for f in rows.schema.fields if f.name != without] + StructType.fromDDL(more).fields)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, added_schema, by_arrow, mix64, need, ngram_hashes, with_row
+from .common import WordHashes, added_schema, by_arrow, mix64, need, ngram_hashes, texts_of, with_row, with_text
 
 #: bytes to blanks but for letters and digits, which are lower-cased, and all bytes of non-ASCII characters
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -103,9 +103,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_w
     """doc_id, n_words, n_hit, items (sorted ids of the items that occur) and spans (word ranges that are hit), by row; ``keep`` adds
     ``row``, a struct of all columns of ``docs``."""
     windows = load_windows(benchmark, n, max_words)
-    rows = with_row(docs, keep, doc_id="long", text="binary")
     if windows is None:
-        return _by_join(rows, benchmark, n)
+        return _by_join(with_row(docs, keep, doc_id="long", text="binary"), benchmark, n)
+    rows = with_text(docs, keep)
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def make():
@@ -113,7 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_w
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_words, n_hit, found, spans = [], [], [], []
-            for text in batch.column("text"):
+            for text in texts_of(batch).cast(pa.binary()):
                 words = words_of(text.as_py())
                 hit, items = scan(words, hashes.of(words))
                 n_words.append(len(words))

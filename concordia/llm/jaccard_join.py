@@ -2,8 +2,9 @@
 
 A text's set holds its distinct word shingles as 64-bit hashes. Texts with equal sets are one class; only classes are compared.
 
-1. Rarity. One pass over all texts counts every shingle in a sketch of fixed width (``SKETCH_BITS``; tasks' sketches are summed chunk by
-   chunk); a shingle's level is the logarithm of its counter. Level, then hash, is one order over all shingles, rare ones first.
+1. Rarity. One pass over all texts counts every shingle in a sketch (a counter for about 32 bytes of text, ``LEAST_BITS`` to ``MOST_BITS``
+   bits; tasks' sketches are summed chunk by chunk); a shingle's level is the logarithm of its counter. Level, then hash, is one order
+   over all shingles, rare ones first. The order is exact to use however coarse it is; a coarser one only makes larger blocks.
 2. Blocks. Linked sets of sizes a <= b share ceil(t * b) shingles or more, so each has a common shingle among its first
    n - ceil(t * n) + 1 in that order. Sets that show a shingle there join the block of the shingle's pivot, the least class showing it: a
    linked pair always shares a block, and a block never reaches beyond one pivot, as candidates are not chained. The sets that show a
@@ -44,7 +45,7 @@ from .graph import connected_components
 
 PERCENT = 90
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-SKETCH_BITS, CHUNK_BITS = 20, 14
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 22, 14
 HOT_ROWS = 1000  # rows of a shingle, beyond what the sketch's noise accounts for, that share a task
 
 
@@ -91,31 +92,42 @@ def possible(sizes: np.ndarray, cells: list[bytes | None], percent: int) -> np.n
     return keep
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def scan(docs: DataFrame, n: int) -> DataFrame:
+def sketch_bits(docs: DataFrame) -> int:
+    """The sketch's width for a table: by the bytes of its texts, within bounds that tasks can hold (16 MB of counters, 4 MB of levels)."""
+    size = need(docs, text="string").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // 32).bit_length()))
+
+
+def scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """One pass over the texts: doc_id, n_shingles, class and cells of each row; and, in rows with ``chunk``, each task's sketch in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch, waiting, tokens = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+        hashes, sketch, waiting, tokens = WordHashes(), np.zeros(1 << bits, np.uint32), [], 0
         names = ["doc_id", "n_shingles", "c1", "c2", "cells", "chunk", "counts"]
+
+        def add(buckets: list[np.ndarray]) -> None:
+            which, times = np.unique(np.concatenate(buckets), return_counts=True)
+            sketch[which] += times.astype(np.uint32)
+
         for batch in batches:
             size, one, two, cells = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), hashes, n)
                 a, b = class_of(s) if len(s) else (None, None)
                 size.append(len(s)), one.append(a), two.append(b), cells.append(cells_of(s))
-                waiting.append(_bucket(s))
+                waiting.append(_bucket(s, bits).astype(np.uint32))
                 tokens += len(s)
-                if tokens > 1 << 20:
-                    sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
+                if tokens > 1 << 19:
+                    add(waiting)
                     waiting, tokens = [], 0
             none = pa.nulls(len(size))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(cells, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if waiting:
-            sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
+            add(waiting)
         parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
         if parts:
             none = pa.nulls(len(parts), pa.int64())
@@ -130,11 +142,11 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(4 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-def rarity(scanned: DataFrame) -> np.ndarray:
-    """The summed sketch as levels: a table of fixed size (1 << SKETCH_BITS bytes), whatever the corpus."""
+def rarity(scanned: DataFrame, bits: int) -> np.ndarray:
+    """The summed sketch as levels: a table of 1 << bits bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}  # 128 KB a chunk, 256 chunks at most
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums.setdefault(k, np.zeros(1 << CHUNK_BITS, np.uint64))
@@ -142,7 +154,7 @@ def rarity(scanned: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(x).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "levels"])
 
-    table = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    table = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
     parts = scanned.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
     for k, levels in parts.mapInArrow(add, "chunk int, levels binary").collect():
         table[k] = np.frombuffer(bytes(levels), np.uint8)
@@ -152,15 +164,17 @@ def rarity(scanned: DataFrame) -> np.ndarray:
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which a linked set must show one too: the first in the order of rarity."""
     n = len(s) - -(-percent * len(s) // 100) + 1
-    key = (levels[_bucket(s)].astype(np.uint64) << np.uint64(56)) | (mix64(s) >> np.uint64(8))
+    key = (levels[_bucket(s, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56)) | (mix64(s) >> np.uint64(8))
     return s[np.argpartition(key, n - 1)[:n]] if n < len(s) else s
 
 
 def shown(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
     """(token, salt, n, c1): what each class, with its size n, shows. A common shingle's rows are dealt by a salt above 0; copies in a batch show once."""
-    counts = 2.0 ** (levels / 4.0) - 1
-    salts = np.maximum(0, np.ceil((counts - 8 * counts.mean()) / HOT_ROWS) - 1).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((levels, salts if salts.any() else None))
+    counts = 2.0 ** (np.arange(256) / 4.0) - 1  # by level
+    mean = float((np.bincount(levels, minlength=256) * counts).sum() / max(1, len(levels)))
+    salts = np.maximum(0, np.ceil((counts - 8 * mean) / HOT_ROWS) - 1).astype(np.int64)
+    bits = len(levels).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast((levels, salts))
 
     def make():
         hashes, (rank, salted) = WordHashes(), shared.value
@@ -177,7 +191,7 @@ def shown(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFram
                 tokens.append(p)
                 size.append(np.full(len(p), len(s), np.int64))
                 owner.append(np.full(len(p), c, np.int64))
-                parts = salted[_bucket(p)] if salted is not None else np.zeros(len(p), np.int64)
+                parts = salted[rank[_bucket(p, bits)]]
                 salt.append(np.where(parts > 0, 1 + (c & 0xFFFFFFF) % np.maximum(parts + 1, 1), 0))
             columns = [np.concatenate(tokens).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(size), np.concatenate(owner)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "salt", "n", "c1"])
@@ -458,12 +472,13 @@ def find_links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, n: int, p
 
 def linked_components(docs: DataFrame, n: int = 3, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    scanned = lasting(scan(docs, n))
+    bits = sketch_bits(docs)
+    scanned = lasting(scan(docs, n, bits))
     rows = scanned.where("chunk IS NULL").select("doc_id", "n_shingles", "c1", "c2", "cells")
     classes = lasting(rows.where("c1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n"), F.first("cells").alias("cells")))
     copies = lasting(classes.where("rep <> last").select("c1", "c2", "rep"))
     mapped = lasting(rows.join(small(copies), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    links = find_links(docs, members(shown(docs, rarity(scanned), n, percent), percent), classes.select("c1", "rep", "n", "cells"), n, percent)
+    links = find_links(docs, members(shown(docs, rarity(scanned, bits), n, percent), percent), classes.select("c1", "rep", "n", "cells"), n, percent)
     # a doc_id that is repeated with other texts joins their classes
     repeated = mapped.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("doc_id")
     links = links.union(mapped.join(small(lasting(repeated)), "doc_id").select("doc_id", "rep"))

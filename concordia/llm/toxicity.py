@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_schema, bounded_sample, by_arrow, mix64, need, sigmoid, with_row
+from .common import added_schema, bounded_sample, by_arrow, mix64, need, sigmoid, texts_of, with_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 40
@@ -134,7 +134,7 @@ class SubwordModel:
         return margins
 
 
-KNOWN, CHARS, PIECE = 300_000, 1 << 20, 10_000
+KNOWN, CHARS, PIECE = 150_000, 1 << 20, 10_000
 
 
 def _tops(shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -275,13 +275,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_each: int = 2000, max_chars:
 def score(docs: DataFrame, model: SubwordModel, keep: bool = False) -> DataFrame:
     """doc_id, score and predicted, a row for each row; whole texts. ``keep`` adds ``row``, a struct of all columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = with_row(docs, keep, doc_id="long", text="string")
+    rows = with_text(docs, keep)
 
     def make():
         margins = shared.value.scorer()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            z = sigmoid(margins(batch.column("text").to_pylist()))
+            z = sigmoid(margins(texts_of(batch).to_pylist()))
             kept = [batch.column("row")] if keep else []
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, pa.array(z), pa.array((z >= 0.5).astype(np.int32))], names=["doc_id", *["row"] * keep, "score", "predicted"])
 

@@ -97,7 +97,7 @@ def test_divide_skip_finds_all():
 
 def test_rare_prefixes_meet_for_every_link():
     r = np.random.default_rng(1)
-    levels = r.integers(0, 4, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    levels = r.integers(0, 4, 1 << jaccard_join.LEAST_BITS).astype(np.uint8)
     for percent in (80, 90):
         for n in (1, 5, 10, 19, 40, 300):
             for _ in range(30):
@@ -133,7 +133,7 @@ def test_templates_make_few_members(spark):
     shared = words(140, 5).split()
     rows = [(i, " ".join(shared + words(60, 1000 + i).split())) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    levels = jaccard_join.rarity(jaccard_join.scan(docs, 3))
+    levels = jaccard_join.rarity(jaccard_join.scan(docs, 3, 18), 18)
     assert jaccard_join.members(jaccard_join.shown(docs, levels, 3, 90), 90).count() < 100
     got = jaccard_join.linked_components(docs).collect()
     assert all(r.doc_id == r.component_id for r in got)
