@@ -6,6 +6,7 @@ Lists are arrays of structs; all of it is built-in expressions but the cleaning
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,9 +75,10 @@ def clipped(refs: Column) -> tuple[Column, Column]:
     return cut, F.coalesce(any_cut, F.lit(False))
 
 
-def channel(html: Column, pdf: Column) -> Column:
-    """struct(channel, text): the HTML's text if there is any, else the PDF's, else nothing; quotes play no part."""
-    h, p = html_to_text(html), clean_text(pdf)
+def channel(html: Column, pdf: Column, read: Callable[[Column], Column] = html_to_text, clean: Callable[[Column], Column] = clean_text) -> Column:
+    """struct(channel, text): the HTML's text if there is any, else the PDF's, else nothing; quotes play no part. ``read`` makes the HTML's
+    text, ``clean`` the PDF's."""
+    h, p = read(html), clean(pdf)
     return F.when(F.coalesce(F.length(h), F.lit(0)) > 0, F.struct(F.lit("htmlText").alias("channel"), h.alias("text"))).when(F.coalesce(F.length(p), F.lit(0)) > 0, F.struct(F.lit("pdfText").alias("channel"), p.alias("text"))).otherwise(F.struct(F.lit("missing").alias("channel"), F.lit("").alias("text")))
 
 
