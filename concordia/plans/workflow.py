@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.normalize import marked_text
 from ..operators import rounds
 from ..operators import workflow as flow
 from ..streaming import reviews
@@ -20,7 +21,7 @@ def _batch(spark, d):
     p = table(spark, d, "pages")
     i = F.col("page_id")
     one = p.select(F.concat(F.lit("p"), i).alias("doc_key"), F.when(i % 3 != 0, F.col("html")).alias("html"), F.when(i % 5 != 0, F.lit("a pdf")).alias("pdf"))
-    return flow.prepared(notes, one.union(one.where(F.col("doc_key").endswith("7"))))
+    return flow.prepared(notes, one.union(one.where(F.col("doc_key").endswith("7"))), marked_text)
 
 
 BATCH_SQL = WARNED_SQL + f""", n AS (SELECT DISTINCT doc_id, there FROM i), k AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN 'p1' ELSE 'p' || doc_id % 4000 END AS key, doc_id % 9 <> 0 AS completed FROM n),
