@@ -215,39 +215,47 @@ class Tagger:
 
     def reader(self):
         """``tags(ids) -> (n, time)`` for ids (n, time): the same network in single precision, a row of numbers for each unit, so that every
-        step is a few operations on whole rows. Gates are tanh of half their sums; characters go through tables."""
+        step is a few operations on whole rows. Gates are 1 / (1 + exp(-sum)), and so are values by tanh x = 2 / (1 + exp(-2 x)) - 1, as exp
+        costs less than tanh; characters go through tables. What a step's hidden values emit comes with the sums of the step after it."""
         f, h = np.float32, self.h
-        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])[:, None]
-        tables = {d: np.ascontiguousarray((half * (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"b{d}"]).T).astype(f)) for d in "fb"}
-        # hidden values are kept doubled, so what reads them is halved; emissions are those above the plain tag's
-        inner = {d: np.ascontiguousarray((0.5 * half * self.p[f"h{d}"].T).astype(f)) for d in "fb"}
-        above = 0.5 * (self.p["out"][:, 1:] - self.p["out"][:, :1])
-        out = {d: np.ascontiguousarray(above[k * h : (k + 1) * h].T.astype(f)) for k, d in enumerate("fb")}
+        scale = np.concatenate([np.full(3 * h, -1.0), np.full(h, -2.0)])[:, None]
+        tables = {d: np.ascontiguousarray((scale * (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"b{d}"]).T).astype(f)) for d in "fb"}
+        # cells and hidden values are kept halved, so what reads them is doubled; emissions are those above the plain tag's
+        above = 2 * (self.p["out"][:, 1:] - self.p["out"][:, :1])
+        both = {d: np.ascontiguousarray(np.concatenate([2 * scale * self.p[f"h{d}"].T, above[k * h : (k + 1) * h].T]).astype(f)) for k, d in enumerate("fb")}
         bias, tr = (self.p["ob"][1:] - self.p["ob"][0]).astype(f)[:, None], self.p["tr"].astype(f)
         lead = max(0.0, float((tr - tr[0, 0]).max()))  # what a step off the plain path can gain by transitions
 
+        @np.errstate(over="ignore")  # 1 / (1 + inf) is 0
         def emissions(ids: np.ndarray) -> np.ndarray:
             steps, n = ids.shape
             e = np.empty((steps, N_TAGS - 1, n), f)
-            z, more, x = np.empty((4 * h, n), f), np.empty((4 * h, n), f), np.empty((N_TAGS - 1, n), f)
-            gates, new = z[: 3 * h], z[3 * h :]
+            e[:] = bias
+            z, sums = np.empty((4 * h, n), f), np.empty((4 * h + N_TAGS - 1, n), f)
+            gates, new, more, x = z[: 3 * h], z[3 * h :], sums[: 4 * h], sums[4 * h :]
             for d in "fb":
-                c, hidden = np.zeros((h, n), f), np.zeros((h, n), f)
+                c, hidden, last = np.zeros((h, n), f), np.zeros((h, n), f), None
                 for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                     np.take(tables[d], ids[t], axis=1, out=z, mode="clip")
-                    z += np.matmul(inner[d], hidden, out=more)
-                    np.tanh(z, out=z)
-                    gates += f(1)  # twice the gates
-                    c *= gates[h : 2 * h]
+                    if last is not None:
+                        np.matmul(both[d], hidden, out=sums)
+                        e[last] += x
+                        z += more
+                    np.exp(z, out=z)
+                    z += f(1)
+                    np.reciprocal(z, out=z)
+                    new -= f(0.5)
                     new *= gates[:h]
+                    c *= gates[h : 2 * h]
                     c += new
-                    c *= f(0.5)
-                    np.tanh(c, out=hidden)
+                    np.multiply(c, f(-4), out=hidden)
+                    np.exp(hidden, out=hidden)
+                    hidden += f(1)
+                    np.reciprocal(hidden, out=hidden)
+                    hidden -= f(0.5)
                     hidden *= gates[2 * h :]
-                    if d == "f":
-                        np.add(np.matmul(out[d], hidden, out=x), bias, out=e[t])
-                    else:
-                        e[t] += np.matmul(out[d], hidden, out=x)
+                    last = t
+                e[last] += np.matmul(both[d], hidden, out=sums)[4 * h :]
             return e
 
         def tags(ids: np.ndarray) -> np.ndarray:
@@ -263,16 +271,24 @@ class Tagger:
 
 
 def viterbi(e: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """The best paths, (n, time), for emissions (time, n, tags)."""
-    back, best = [], e[0]
-    for t in range(1, len(e)):
-        s = best[:, :, None] + transitions[None]
-        back.append(s.argmax(1))
-        best = s.max(1) + e[t]
-    tags = [best.argmax(1)]
-    for b in reversed(back):
-        tags.append(b[np.arange(len(b)), tags[-1]])
-    return np.stack(tags[::-1], 1)
+    """The best paths, (n, time), for emissions (time, n, tags); where several are, from the lower tags."""
+    steps, n, k = e.shape
+    e, step = np.ascontiguousarray(e.transpose(0, 2, 1)), [np.ascontiguousarray(row[:, None]) for row in transitions]
+    back, best = np.zeros((steps, k, n), np.uint8), e[0]
+    new, better = np.empty((k, n), np.result_type(e, transitions)), np.empty((k, n), bool)
+    for t in range(1, steps):
+        top = best[0] + step[0]
+        for tag in range(1, k):
+            np.add(best[tag], step[tag], out=new)
+            np.greater(new, top, out=better)
+            np.copyto(back[t], tag, where=better)
+            np.maximum(new, top, out=top)
+        best = top + e[t]
+    tags, rows = np.empty((steps, n), np.intp), np.arange(n)
+    tags[-1] = best.argmax(0)
+    for t in range(steps - 1, 0, -1):
+        tags[t - 1] = back[t, tags[t], rows]
+    return tags.T
 
 
 def window_starts(length: int) -> list[int]:
